@@ -52,15 +52,15 @@ def numbered(
 
 
 def hash_numbered(
-    df: DataFrame, keys: Sequence[str], row_key: Column, seed: int = 42, chunks: int = 64, name: str = "idx"
+    df: DataFrame, keys: Sequence[str], row_key: Column, seed: int = 42, chunk_bits: int = 6, name: str = "idx"
 ) -> DataFrame:
-    """A seeded shuffle order per key: 1..n, reproducible on any partitioning."""
-    draw = F.xxhash64(row_key, F.lit(seed))
-    with_draw = df.withColumn("__draw", draw).withColumn("__tie", row_key)
-    width = F.lit(2**64 // chunks).cast("decimal(20,0)")
-    chunk = F.floor((F.col("__draw").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / width)
-    out = numbered(with_draw, keys, [F.col("__draw"), F.col("__tie")], chunk, name)
-    return out.drop("__draw", "__tie")
+    """A seeded shuffle order per key: 1..n, reproducible on any partitioning.
+
+    The leading bits of the hash are the chunk, so chunks are of equal size.
+    """
+    drawn = df.withColumn("__draw", F.xxhash64(row_key, F.lit(seed))).withColumn("__tie", row_key)
+    chunk = F.shiftright("__draw", 64 - chunk_bits)
+    return numbered(drawn, keys, [F.col("__draw"), F.col("__tie")], chunk, name).drop("__draw", "__tie")
 
 
 def rolling(

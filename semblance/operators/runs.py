@@ -84,13 +84,15 @@ def run_summary(jobs: DataFrame, history: DataFrame) -> DataFrame:
     """
     per = history.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("epochs"),
-        F.avg("epoch_time_seconds").alias("t"), F.avg("samples_per_second").alias("s"),
+        # decimal sums do not depend on the order of the rows
+        F.avg(F.col("epoch_time_seconds").cast("decimal(18,3)")).alias("t"),
+        F.avg(F.col("samples_per_second").cast("decimal(18,1)")).alias("s"),
         F.max_by("generator_loss", "epoch").alias("g"), F.max_by("discriminator_loss", "epoch").alias("d"),
         F.max_by("loss_ratio", "epoch").alias("r"), F.max_by("mode_collapse_score", "epoch").alias("m"),
         F.min("generator_loss").alias("b"), F.min_by("epoch", F.struct("generator_loss", "epoch")).alias("e"),
         F.stddev_pop("generator_loss").alias("sd"),
     )
-    zero = lambda name, digits: F.round(F.coalesce(F.col(name), F.lit(0.0)), digits)
+    zero = lambda name, digits: F.round(F.coalesce(F.col(name), F.lit(0)), digits).cast("double")
     return jobs.join(per, "job_id", "left").select(
         "job_id",
         F.coalesce("epochs", F.lit(0)).alias("epochs"),

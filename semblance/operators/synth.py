@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semblance.functions.scalars import col
 from semblance.operators.compare import correlations, covariances
@@ -41,7 +42,7 @@ def _z(p: float) -> float:
 Z_KNOTS = [_z(p) for p in PROBS]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_score(p: pd.Series) -> pd.Series:
     return p.map(_z)
 
