@@ -53,7 +53,7 @@ def coerce_numeric(t: Tables):
     f"SELECT 'v' AS column_name, round(count({SQL_NUMBER}) / count(v), 6) AS numeric_ratio FROM p",
 )
 def numeric_ratio(t: Tables):
-    stats = P.column_stats(t.spark.sql(NUMBER_TEXTS, orders=t("orders")), ["v"], ())
+    stats = P.column_stats(t.spark.sql(NUMBER_TEXTS, orders=t("orders")), ["v"], shape=False)
     return stats.select(F.col("column").alias("column_name"), r(F.col("numeric_ratio")).alias("numeric_ratio"))
 
 
@@ -144,7 +144,7 @@ def resolve_target(t: Tables):
     ("pair_real",),
 )
 def profile_missing(t: Tables):
-    stats = P.column_stats(t("pair_real"), moments=())
+    stats = P.column_stats(t("pair_real"), shape=False)
     return stats.select(F.col("column").alias("column_name"), "missing_count", r(F.col("missing_pct")).alias("missing_pct"))
 
 
@@ -174,7 +174,7 @@ NUMBERS = ("quantity", "price", "discount", "konst")
     ("pair_real",),
 )
 def profile_numeric(t: Tables):
-    stats = P.column_stats(t("pair_real"), list(NUMBERS), ("min", "max", "mean", "std"))
+    stats = P.column_stats(t("pair_real"), list(NUMBERS))
     return stats.select(F.col("column").alias("column_name"), *[r(F.col(c), 4).alias(c) for c in ("min", "max", "mean", "std")])
 
 
@@ -201,7 +201,7 @@ def profile_quantiles(t: Tables):
     ("pair_real",),
 )
 def profile_shape(t: Tables):
-    stats = P.column_stats(t("pair_real"), list(NUMBERS), ("skewness", "kurtosis"))
+    stats = P.column_stats(t("pair_real"), list(NUMBERS))
     return stats.select(F.col("column").alias("column_name"), *[r(F.col(c), 4).alias(c) for c in ("skewness", "kurtosis")])
 
 

@@ -41,9 +41,14 @@ def col(name: str) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    """Text without leading and trailing white space; blank becomes null."""
+    """Text without leading and trailing white space; blank becomes null.
+
+    Text that begins and ends with a visible ASCII character, the usual case,
+    skips the regular expression.
+    """
+    visible = lambda end: F.ascii(end).between(33, 126)
     text = F.regexp_replace(c, EDGE_SPACE, "")
-    return F.when(text != "", text)
+    return F.when(visible(c) & visible(F.substring(c, -1, 1)), c).otherwise(F.when(text != "", text))
 
 
 def finite(c: Column) -> Column:
@@ -101,7 +106,9 @@ def number(c: Column, dtype: T.DataType) -> Column:
     """The value as a finite double, or null where it is no number."""
     if isinstance(dtype, T.StringType):
         text = F.trim(c)
-        return finite(F.when(text.rlike(NUMBER_TEXT), text.try_cast("double")))
+        first = F.ascii(text)  # a digit, a sign or a point, before the costlier test
+        could = first.between(48, 57) | first.isin(43, 45, 46)
+        return finite(F.when(could & text.rlike(NUMBER_TEXT), text.try_cast("double")))
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("double")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):

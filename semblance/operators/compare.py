@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -41,6 +41,8 @@ def as_labels(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def coverage(df: DataFrame, columns: list[str], side: str) -> DataFrame:
     """(column, share of all rows that are numbers, number count) in one aggregate."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"column string, {side}_ratio double, {side}_count bigint")
     nums = as_numbers(df, columns)
     agg = nums.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     rows = F.array(
@@ -256,24 +258,44 @@ def wasserstein(pair: NumericPair, cdf: DataFrame | None = None) -> DataFrame:
 # -- correlation ------------------------------------------------------------
 
 
-def covariances(df: DataFrame, columns: list[str], per_scan: int = 400) -> np.ndarray:
+def pair_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
+    """(n, sx, sy, sxx, syy, sxy) of each pair over the rows where both are present.
+
+    Values are taken about their column means (a first scan), so the sums stay
+    small.  All pairs go through one small aggregate keyed by the pair, which
+    combines before the shuffle; the result is one row per pair.
+    """
+    columns = sorted({c for p in pairs for c in p})
+    # A constant column is taken about its value, so that rounding gives it no variance.
+    centre = lambda c: F.when(F.min(col(c)) < F.max(col(c)), F.avg(col(c))).otherwise(F.min(col(c)))
+    means = df.agg(*[centre(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    at = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
+    centred = df.select(*[(col(c) - F.lit(means[f"m{i}"] or 0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), at[a].alias("x"), at[b].alias("y")) for k, (a, b) in enumerate(pairs)])
+    x, y = F.col("x"), F.col("y")
+    sums = centred.select(F.inline(rows)).where(x.isNotNull() & y.isNotNull()).groupBy("k").agg(
+        F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)
+    )
+    found = {r[0]: tuple(r)[1:] for r in sums.collect()}
+    return [found.get(k, (0, 0.0, 0.0, 0.0, 0.0, 0.0)) for k in range(len(pairs))]
+
+
+def covariances(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Population covariance matrix; d x d doubles come to the driver, d = columns."""
-    d = len(columns)
-    pairs = [(i, i) for i in range(d)] + list(combinations(range(d), 2))
-    out = np.zeros((d, d))
-    for start in range(0, len(pairs), per_scan):
-        part = pairs[start : start + per_scan]
-        row = df.agg(*[F.covar_pop(col(columns[i]), col(columns[j])).alias(f"c{k}") for k, (i, j) in enumerate(part)]).first()
-        for k, (i, j) in enumerate(part):
-            out[i, j] = out[j, i] = row[f"c{k}"] or 0.0
+    at = {c: i for i, c in enumerate(columns)}
+    pairs = list(combinations_with_replacement(columns, 2))
+    out = np.zeros((len(columns), len(columns)))
+    for (a, b), (n, sx, sy, _, _, sxy) in zip(pairs, pair_sums(df, pairs) if pairs else []):
+        if n:
+            out[at[a], at[b]] = out[at[b], at[a]] = sxy / n - (sx / n) * (sy / n)
     return out
 
 
 def correlations(cov: np.ndarray) -> np.ndarray:
     """Pearson matrix; an undefined entry is 0, the diagonal of a constant column included."""
-    s = np.sqrt(np.clip(np.diag(cov), 0, None))
+    s = np.sqrt(np.diag(cov))
     scale = np.outer(s, s)
-    return np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 0)
+    return np.clip(np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 0), -1.0, 1.0)
 
 
 def correlation_matrix(pair: NumericPair) -> DataFrame:
@@ -306,7 +328,7 @@ def pca_variance_retained(pair: NumericPair) -> float:
     real, syn = pair.filled()
     rows = real.limit(len(pair.columns)).count()
     cov_real, cov_syn = covariances(real, pair.columns), covariances(syn, pair.columns)
-    s = np.sqrt(np.clip(np.diag(cov_real), 0, None))
+    s = np.sqrt(np.diag(cov_real))
     s[s == 0] = 1.0
     cov_real, cov_syn = cov_real / np.outer(s, s), cov_syn / np.outer(s, s)
     total = float(np.trace(cov_syn))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semblance.functions.scalars import (
-    col, imbalance_advice, label, normalized, number, ratio_text, safe_ratio, SEVERE_BELOW,
+    SEVERE_BELOW, col, finite, imbalance_advice, label, normalized, number, ratio_text, sanitized,
 )
 from semblance.operators.order import exact_quantiles
 
@@ -51,69 +53,101 @@ class TableSchema:
         return self.numeric + self.discrete
 
 
-def unbiased_skewness(x: Column) -> Column:
-    n = F.count(x).cast("double")
-    g = F.coalesce(F.skewness(x), F.lit(0.0))
-    return F.when(n >= 3, g * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2))
-
+MOMENTS = ("min", "max", "mean", "std", "skewness", "kurtosis")
+STATS_SCHEMA = (
+    "column string, rows bigint, missing_count bigint, missing_pct double, non_null bigint, numeric_ratio double, "
+    + ", ".join(f"{m} double" for m in MOMENTS)
+)
 
-def unbiased_kurtosis(x: Column) -> Column:
-    n = F.count(x).cast("double")
-    g = F.kurtosis(x)
-    value = (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * g + 6)
-    return F.when(n >= 4, F.coalesce(value, F.lit(0.0)))
 
+def moments_from_sums(n: int, s2: float, s3: float, s4: float, constant: bool) -> dict[str, float | None]:
+    """Sample std, bias-corrected skewness and excess kurtosis from sums about the mean."""
+    out = {"std": math.sqrt(s2 / (n - 1)) if n > 1 else None, "skewness": None, "kurtosis": None}
+    if constant or s2 == 0:
+        return {"std": 0.0 if n > 1 else None, "skewness": 0.0 if n > 2 else None, "kurtosis": 0.0 if n > 3 else None}
+    if n > 2:
+        out["skewness"] = math.sqrt(n * (n - 1)) / (n - 2) * (s3 / n) / (s2 / n) ** 1.5
+    if n > 3:
+        out["kurtosis"] = (n - 1) / ((n - 2) * (n - 3)) * (n * (n + 1) * s4 / s2**2 - 3 * (n - 1))
+    return out
 
-MOMENTS = {
-    "min": F.min,
-    "max": F.max,
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "skewness": unbiased_skewness,
-    "kurtosis": unbiased_kurtosis,
-}
 
+def column_stats(df: DataFrame, columns: list[str] | None = None, shape: bool = True) -> DataFrame:
+    """One row per column: counts, range, mean and (with ``shape``) spread, skewness and kurtosis.
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, moments: tuple[str, ...] = tuple(MOMENTS)) -> DataFrame:
-    """One row per column from a single wide aggregate over one scan."""
+    Two scans of plain sums: the second takes powers about the mean.  The
+    built-in central moments would need one scan, but dozens of them in one
+    aggregate outgrow what the JVM compiles, and run many times slower.
+    """
     columns = columns or df.columns
     types = {f.name: f.dataType for f in df.schema}
-    # Coerce once in a projection; ten aggregates then read the same value.
-    inputs = [col(name).isNotNull().alias(f"v{i}") for i, name in enumerate(columns)]
-    inputs += [number(col(name), types[name]).alias(f"x{i}") for i, name in enumerate(columns)]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i in range(len(columns)):
-        x = F.col(f"x{i}")
-        aggs += [F.count(F.when(F.col(f"v{i}"), 1)).alias(f"p{i}"), F.count(x).alias(f"c{i}")]
-        aggs += [MOMENTS[m](x).alias(f"{m}{i}") for m in moments]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("column"),
-                F.col("n").alias("rows"),
-                (F.col("n") - F.col(f"p{i}")).alias("missing_count"),
-                F.col(f"p{i}").alias("non_null"),
-                F.coalesce(safe_ratio(F.col(f"c{i}"), F.col(f"p{i}")), F.lit(0.0)).alias("numeric_ratio"),
-                *[F.col(f"{m}{i}").cast("double").alias(m) for m in moments],
-            )
-            for i, name in enumerate(columns)
-        ]
-    )
-    pct = F.coalesce(safe_ratio(F.col("missing_count"), F.col("rows")) * 100, F.lit(0.0))
-    return df.select(*inputs).agg(*aggs).select(F.inline(rows)).withColumn("missing_pct", pct)
+    present = [col(c).isNotNull().alias(f"v{i}") for i, c in enumerate(columns)]
+    xs = [number(col(c), types[c]).alias(f"x{i}") for i, c in enumerate(columns)]
+    x = [F.col(f"x{i}") for i in range(len(columns))]
+    first = df.select(*present, *xs).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(F.when(F.col(f"v{i}"), 1)).alias(f"p{i}") for i in range(len(x))],
+        *[f(x[i]).alias(f"{name}{i}") for i in range(len(x)) for name, f in (("c", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg))],
+    ).first()
+    spread = [i for i in range(len(x)) if shape and first[f"c{i}"] and first[f"min{i}"] < first[f"max{i}"]]
+    sums = {}
+    if spread:
+        d = {i: x[i] - F.lit(first[f"mean{i}"]) for i in spread}
+        sums = df.select(*[xs[i] for i in spread]).select(*[d[i].alias(f"d{i}") for i in spread]).agg(
+            *[F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s2_{i}") for i in spread],
+            *[F.sum(F.col(f"d{i}") * F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s3_{i}") for i in spread],
+            *[F.sum(F.col(f"d{i}") * F.col(f"d{i}") * F.col(f"d{i}") * F.col(f"d{i}")).alias(f"s4_{i}") for i in spread],
+        ).first()
+    rows = []
+    for i, c in enumerate(columns):
+        n, p, k = first["n"], first[f"p{i}"], first[f"c{i}"]
+        if i in spread:
+            m = moments_from_sums(k, sums[f"s2_{i}"], sums[f"s3_{i}"], sums[f"s4_{i}"], False)
+        else:
+            m = moments_from_sums(k, 0.0, 0.0, 0.0, True) if shape else dict.fromkeys(MOMENTS[3:])
+        rows.append((
+            c, n, n - p, (n - p) / n * 100 if n else 0.0, p, k / p if p else 0.0,
+            *[first[f"{name}{i}"] for name in ("min", "max", "mean")], *[m[name] for name in MOMENTS[3:]],
+        ))
+    return df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value text, count) of all columns in one unpivot and one shuffle."""
+    """(column, value text, count) of all columns.
+
+    Columns of one type are unpivoted and grouped together by their raw values;
+    only the distinct values are turned into text.
+    """
     columns = columns or df.columns
     types = {f.name: f.dataType for f in df.schema}
-    text = df.select(*[label(col(c), types[c]).alias(c) for c in columns])
-    return (
-        text.unpivot([], [col(c) for c in columns], "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    families: dict[str, list[str]] = {}
+    for c in columns:
+        families.setdefault(_family(types[c]), []).append(c)
+    out = None
+    for family, members in families.items():
+        key = (lambda c: finite(col(c).cast("double"))) if family == "double" else (
+            (lambda c: label(col(c), types[c])) if family == "text" else (lambda c: col(c).cast(family))
+        )
+        counts = (
+            df.select(*[key(c).alias(c) for c in members])
+            .unpivot([], [col(c) for c in members], "column", "value")
+            .where(F.col("value").isNotNull())
+            .groupBy("column", "value")
+            .agg(F.count(F.lit(1)).alias("count"))
+        )
+        counts = counts.select("column", label(F.col("value"), counts.schema["value"].dataType).alias("value"), "count")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def _family(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return "double"
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return dtype.simpleString()
+    return "text"
 
 
 def distinct_stats(counts: DataFrame) -> DataFrame:
@@ -154,65 +188,66 @@ def quantile_stats(df: DataFrame, columns: list[str], **kw) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double, iqr double")
 
 
-PROFILE_FIELDS = [
-    "column", "position", "role", "type", "missing_count", "missing_pct", "unique_values", "is_constant",
-    "min", "max", "mean", "std", "median", "q1", "q3", "iqr", "skewness", "kurtosis",
-    "cardinality", "top_value_stats", "example_values", "most_common_freq",
-]
+PROFILE_SCHEMA = (
+    "column string, position int, role string, type string, missing_count bigint, missing_pct double, unique_values bigint, "
+    "is_constant boolean, min double, max double, mean double, std double, median double, q1 double, q3 double, iqr double, "
+    "skewness double, kurtosis double, cardinality bigint"
+)
 
 
 def profile(df: DataFrame, target: str | None = None, **kw) -> DataFrame:
     """One row per column: its role, logical type and statistics.
 
     Roles: ``feature``, ``target``, ``skipped`` (all null, or nearly unique with
-    more than 50 distinct values).
+    more than 50 distinct values).  The counts decide the types; quantiles are
+    then read for the numeric columns only, top values for the categorical ones.
     """
-    df = normalized(df)
-    spark = df.sparkSession
-    stats = [r.asDict() for r in column_stats(df).collect()]  # one row per column
-    numeric_like = [r["column"] for r in stats if r["numeric_ratio"] >= NUMERIC_SHARE and r["column"] != target]
-    quantiles = quantile_stats(df, numeric_like, **kw)
-    position = {c: i for i, c in enumerate(df.columns)}
-    base = spark.createDataFrame(
-        [(position[r["column"]], *r.values()) for r in stats],
-        "position int, column string, rows bigint, missing_count bigint, non_null bigint, numeric_ratio double, "
-        "min double, max double, mean double, std double, skewness double, kurtosis double, missing_pct double",
-    )
-    counts = value_counts(df)
-    distinct = distinct_stats(counts).select("column", "unique_values", "unique_ratio", "is_constant")
+    df = sanitized(normalized(df))
+    stats = {r["column"]: r for r in column_stats(df).collect()}  # one row per column
+    distinct = {r["column"]: r for r in distinct_stats(value_counts(df)).collect()}  # one row per column
+    kinds: dict[str, tuple[str, str | None]] = {}
+    for c in df.columns:
+        d = distinct.get(c)
+        if d is None or (c != target and d["unique_ratio"] >= ID_SHARE and d["unique_values"] > ID_DISTINCT):
+            kinds[c] = ("skipped", None)
+        elif c == target:
+            kinds[c] = ("target", "categorical")
+        else:
+            numeric = stats[c]["numeric_ratio"] >= NUMERIC_SHARE and d["unique_values"] > LOW_CARDINALITY
+            kinds[c] = ("feature", "numeric" if numeric else "categorical")
+    numeric = [c for c, k in kinds.items() if k[1] == "numeric"]
+    categorical = [c for c, k in kinds.items() if k[1] == "categorical"]
+    quantiles = {r["column"]: r for r in quantile_stats(df, numeric, **kw).collect()} if numeric else {}
+    rows = []
+    for i, c in enumerate(df.columns):
+        role, kind = kinds[c]
+        s, d, q = stats[c], distinct.get(c), quantiles.get(c)
+        of = lambda source, *names: [source[n] if source is not None else None for n in names]
+        rows.append((
+            c, i, role, kind, *of(s if kind else None, "missing_count", "missing_pct"),
+            *of(d if kind else None, "unique_values", "is_constant"), *of(s if q else None, "min", "max", "mean", "std"),
+            *of(q, "median", "q1", "q3", "iqr"), *of(s if q else None, "skewness", "kurtosis"),
+            d["unique_values"] if kind == "categorical" else None,
+        ))
+    base = df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    if not categorical:
+        empty = "array<struct<value:string,count:bigint,pct:double>>"
+        return base.withColumns({
+            "top_value_stats": F.lit(None).cast(empty), "example_values": F.lit(None).cast("array<string>"),
+            "most_common_freq": F.lit(None).cast("bigint"),
+        })
+    counts = value_counts(df, categorical)
     top = top_values(counts).groupBy("column").agg(  # at most five rows per column
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "count", "pct"))),
-                    lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"), s["pct"].alias("pct"))).alias("top_value_stats"),
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "value", "count", "pct"))),
+            lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"), s["pct"].alias("pct")),
+        ).alias("top_value_stats"),
         F.max("count").alias("most_common_freq"),
     )
-    examples = example_values(counts).groupBy("column").agg(
-        F.array_sort(F.collect_list("value")).alias("example_values")
-    )
-    joined = base
-    for part in (distinct, quantiles, top, examples):
-        joined = joined.join(F.broadcast(part), "column", "left")  # each has one row per column
-
-    is_target = F.col("column") == F.lit(target)
-    unusable = (F.col("non_null") == 0) | (
-        (F.col("unique_ratio") >= ID_SHARE) & (F.col("unique_values") > ID_DISTINCT) & ~F.coalesce(is_target, F.lit(False))
-    )
-    role = F.when(unusable, "skipped").when(is_target, "target").otherwise("feature")
-    kind = F.when(
-        (F.col("role") == "feature")
-        & (F.col("numeric_ratio") >= NUMERIC_SHARE)
-        & (F.col("unique_values") > LOW_CARDINALITY),
-        "numeric",
-    ).when(F.col("role") != "skipped", "categorical")
-    out = joined.withColumn("role", role).withColumn("type", kind)
-    numeric, categorical = F.col("type") == "numeric", F.col("type") == "categorical"
-    known = F.col("type").isNotNull()
-    only = lambda cond, name: F.when(cond, F.col(name)).alias(name)
-    return out.select(
-        "column", "position", "role", "type",
-        *[only(known, n) for n in ("missing_count", "missing_pct", "unique_values", "is_constant")],
-        *[only(numeric, n) for n in ("min", "max", "mean", "std", "median", "q1", "q3", "iqr", "skewness", "kurtosis")],
-        F.when(categorical, F.col("unique_values")).alias("cardinality"),
-        *[only(categorical, n) for n in ("top_value_stats", "example_values", "most_common_freq")],
+    examples = example_values(counts).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("example_values"))
+    # each side has one row per column
+    return base.join(F.broadcast(top.join(examples, "column")), "column", "left").select(
+        *base.columns, "top_value_stats", "example_values", "most_common_freq"
     )
 
 
