@@ -258,19 +258,25 @@ def wasserstein(pair: NumericPair, cdf: DataFrame | None = None) -> DataFrame:
 # -- correlation ------------------------------------------------------------
 
 
+def _centred(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """Columns x0, x1, ... about their means (a first scan), and the row count.
+
+    A constant column is taken about its value, so that rounding gives it no variance.
+    """
+    centre = lambda c: F.when(F.min(col(c)) < F.max(col(c)), F.avg(col(c))).otherwise(F.min(col(c)))
+    found = df.agg(F.count(F.lit(1)).alias("n"), *[centre(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return df.select(*[(col(c) - F.lit(found[f"m{i}"] or 0.0)).alias(f"x{i}") for i, c in enumerate(columns)]), found["n"]
+
+
 def pair_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
     """(n, sx, sy, sxx, syy, sxy) of each pair over the rows where both are present.
 
-    Values are taken about their column means (a first scan), so the sums stay
-    small.  All pairs go through one small aggregate keyed by the pair, which
-    combines before the shuffle; the result is one row per pair.
+    All pairs go through one small aggregate keyed by the pair, which combines
+    before the shuffle; the result is one row per pair.
     """
     columns = sorted({c for p in pairs for c in p})
-    # A constant column is taken about its value, so that rounding gives it no variance.
-    centre = lambda c: F.when(F.min(col(c)) < F.max(col(c)), F.avg(col(c))).otherwise(F.min(col(c)))
-    means = df.agg(*[centre(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centred, _ = _centred(df, columns)
     at = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
-    centred = df.select(*[(col(c) - F.lit(means[f"m{i}"] or 0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
     rows = F.array(*[F.struct(F.lit(k).alias("k"), at[a].alias("x"), at[b].alias("y")) for k, (a, b) in enumerate(pairs)])
     x, y = F.col("x"), F.col("y")
     sums = centred.select(F.inline(rows)).where(x.isNotNull() & y.isNotNull()).groupBy("k").agg(
@@ -281,13 +287,21 @@ def pair_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
 
 
 def covariances(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Population covariance matrix; d x d doubles come to the driver, d = columns."""
-    at = {c: i for i, c in enumerate(columns)}
-    pairs = list(combinations_with_replacement(columns, 2))
+    """Population covariance matrix of columns without nulls.
+
+    Products about the means are summed per pair; d x d doubles come to the
+    driver, d = columns.
+    """
     out = np.zeros((len(columns), len(columns)))
-    for (a, b), (n, sx, sy, _, _, sxy) in zip(pairs, pair_sums(df, pairs) if pairs else []):
-        if n:
-            out[at[a], at[b]] = out[at[b], at[a]] = sxy / n - (sx / n) * (sy / n)
+    if not columns:
+        return out
+    centred, n = _centred(df, columns)
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    products = F.array(*[F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs])
+    sums = centred.select(F.posexplode(products).alias("k", "xy")).groupBy("k").agg(F.sum("xy").alias("s"))
+    for r in sums.collect():
+        i, j = pairs[r["k"]]
+        out[i, j] = out[j, i] = r["s"] / n if n else 0.0
     return out
 
 
