@@ -67,7 +67,7 @@ COVERAGE = " UNION ALL ".join(
     BOTH,
 )
 def common_numeric(t: Tables):
-    return rounded(named(C.common_numeric(*pair(t))).drop("numeric_type"), real_ratio=6, synthetic_ratio=6)
+    return rounded(named(C.common_numeric(*pair(t))).select("column_name", "real_ratio", "synthetic_ratio", "is_common"), real_ratio=6, synthetic_ratio=6)
 
 
 @check(
@@ -142,11 +142,9 @@ WITH {CDF}, d AS (SELECT c, sum(abs(f - g) * coalesce(width, 0)) / CASE WHEN max
     BOTH,
 )
 def wasserstein(t: Tables):
-    p = C.numeric_pair(*pair(t))
-    cdf = C.two_sample_cdf(p)
-    by, mean = C.wasserstein_by_column(p, cdf), C.wasserstein(p, cdf)
-    both = by.unionByName(mean.select(F.lit("mean").alias("column"), F.col("wasserstein").alias("distance")))
-    return rounded(named(both), distance=6)
+    by, mean = C.wasserstein(C.numeric_pair(*pair(t)))
+    rows = [*by.items(), ("mean", mean)]
+    return rounded(t.spark.createDataFrame(rows, "column_name string, distance double"), distance=6)
 
 
 def _filled_sql(columns) -> str:

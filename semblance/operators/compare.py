@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.functions.scalars import col, is_numeric, label, number
+from semblance.functions.scalars import col, is_numeric, label, number, safe_ratio
 from semblance.operators.order import medians, running_totals
 
 # Fixed values.
@@ -40,18 +40,14 @@ def as_labels(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def coverage(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    """(column, share of all rows that are numbers, number count) in one aggregate."""
+    """(column, rows, number count) in one aggregate."""
     if not columns:
-        return df.sparkSession.createDataFrame([], f"column string, {side}_ratio double, {side}_count bigint")
+        return df.sparkSession.createDataFrame([], f"column string, {side}_rows bigint, {side}_count bigint")
     nums = as_numbers(df, columns)
     agg = nums.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     rows = F.array(
         *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.coalesce(F.col(f"c{i}") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0)).alias(f"{side}_ratio"),
-                F.col(f"c{i}").alias(f"{side}_count"),
-            )
+            F.struct(F.lit(c).alias("column"), F.col("n").alias(f"{side}_rows"), F.col(f"c{i}").alias(f"{side}_count"))
             for i, c in enumerate(columns)
         ]
     )
@@ -62,12 +58,15 @@ def common_numeric(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Which shared columns count as numeric on both sides, and why."""
     columns = shared_columns(real, synthetic)
     typed = set(numeric_by_type(real, synthetic, columns))
+    # one row per column on either side
     both = coverage(real, columns, "real").join(F.broadcast(coverage(synthetic, columns, "synthetic")), "column")
+    share = lambda side: F.coalesce(safe_ratio(F.col(f"{side}_count"), F.col(f"{side}_rows")), F.lit(0.0))
     by_type = F.col("column").isin(*typed) if typed else F.lit(False)
-    enough = (F.col("real_ratio") >= COERCIBLE_SHARE) & (F.col("synthetic_ratio") >= COERCIBLE_SHARE)
+    enough = (share("real") >= COERCIBLE_SHARE) & (share("synthetic") >= COERCIBLE_SHARE)
     some = (F.col("real_count") > 0) & (F.col("synthetic_count") > 0)
     return both.select(
-        "column", "real_ratio", "synthetic_ratio", by_type.alias("numeric_type"), ((by_type | enough) & some).alias("is_common")
+        *both.columns, share("real").alias("real_ratio"), share("synthetic").alias("synthetic_ratio"),
+        by_type.alias("numeric_type"), ((by_type | enough) & some).alias("is_common"),
     )
 
 
@@ -78,28 +77,32 @@ class NumericPair:
     columns: list[str]
     real: DataFrame
     synthetic: DataFrame
-    rows: int  # an upper bound of rows on both sides, for sizing
+    rows: int  # of both sides, for sizing
+    gaps: list[str] | None = None  # columns with nulls on either side; None if not known
     _fill: dict[str, float] | None = None
 
     @property
     def fill(self) -> dict[str, float]:
-        """The real table's medians."""
+        """The real table's medians, of the columns that have something to fill."""
         if self._fill is None:
-            self._fill = medians(self.real, {c: col(c) for c in self.columns})
+            gaps = self.columns if self.gaps is None else self.gaps
+            self._fill = medians(self.real, {c: col(c) for c in gaps})
         return self._fill
 
     def filled(self) -> tuple[DataFrame, DataFrame]:
         """Both tables with nulls replaced by the real medians."""
-        put = [F.coalesce(col(c), F.lit(self.fill[c])).alias(c) for c in self.columns]
+        put = [(F.coalesce(col(c), F.lit(self.fill[c])) if c in self.fill else col(c)).alias(c) for c in self.columns]
         return self.real.select(*put), self.synthetic.select(*put)
 
 
 def numeric_pair(real: DataFrame, synthetic: DataFrame) -> NumericPair:
-    rows = common_numeric(real, synthetic).where("is_common").select("column").collect()  # one row per column
-    found = {r["column"] for r in rows}
+    found = {r["column"]: r for r in common_numeric(real, synthetic).where("is_common").collect()}  # one row per column
     columns = [c for c in shared_columns(real, synthetic) if c in found]
-    a, b = as_numbers(real, columns), as_numbers(synthetic, columns)
-    return NumericPair(columns, a, b, real.count() + synthetic.count() if columns else 0)
+    some = next(iter(found.values()), None)
+    gaps = [c for c, r in found.items() if r["real_count"] < r["real_rows"] or r["synthetic_count"] < r["synthetic_rows"]]
+    return NumericPair(
+        columns, as_numbers(real, columns), as_numbers(synthetic, columns), some["real_rows"] + some["synthetic_rows"] if some else 0, gaps
+    )
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -247,12 +250,10 @@ def wasserstein_by_column(pair: NumericPair, cdf: DataFrame | None = None) -> Da
     return agg.select("column", (F.col("w") / F.when(span <= 1e-12, flat).otherwise(span)).alias("distance"))
 
 
-def wasserstein(pair: NumericPair, cdf: DataFrame | None = None) -> DataFrame:
-    """Mean scaled distance over the common numeric columns (one row)."""
-    if not pair.columns:
-        return pair.real.sparkSession.createDataFrame([(0.0,)], "wasserstein double")
-    by = wasserstein_by_column(pair, cdf)
-    return by.agg(F.coalesce(F.avg("distance"), F.lit(0.0)).alias("wasserstein"))
+def wasserstein(pair: NumericPair) -> tuple[dict[str, float], float]:
+    """Scaled distance per common numeric column, and their unweighted mean (0 without columns)."""
+    by = {r["column"]: r["distance"] for r in wasserstein_by_column(pair).collect()} if pair.columns else {}
+    return by, sum(by.values()) / len(by) if by else 0.0
 
 
 # -- correlation ------------------------------------------------------------

@@ -180,23 +180,29 @@ def _chunk_of(cuts: Column, v: Column, fan: int = 32) -> Column:
 # -- exact quantiles --------------------------------------------------------
 
 
+def _interpolated(low, high, at: float) -> float | None:
+    """Between the values at the ranks around ``at``."""
+    if low is None or low == high or at == math.floor(at):
+        return low
+    return (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+
 def exact_quantiles(
     df: DataFrame, columns: dict[str, Column], probs: Sequence[float], exact_limit: int = ROWS_PER_CHUNK
 ) -> dict[str, dict[float, float | None]]:
     """Exact linear-interpolated quantiles of several double columns.
 
-    Up to ``exact_limit`` rows the built-in ``percentile`` is used (its buffer
-    is bounded by the row count, which is checked).  Beyond that a sketch gives
-    a bracket around each wanted rank, one scan proves how many values lie below
-    and inside it, and only the values inside the bracket are sorted.
+    Up to ``exact_limit`` rows (checked) the distinct values of each column are
+    counted and summed in order.  Beyond that a sketch gives a bracket around
+    each wanted rank, one scan proves how many values lie below and inside it,
+    and only the values inside the bracket are counted and sorted.
     """
     if not columns:
         return {}
     names, probs = list(columns), [float(p) for p in probs]
     narrow = df.select(*[columns[n].alias(f"q{i}") for i, n in enumerate(names)])
     if narrow.limit(exact_limit + 1).count() <= exact_limit:
-        row = narrow.agg(*[F.percentile(f"q{i}", F.array(*map(F.lit, probs))).alias(f"q{i}") for i in range(len(names))]).first()
-        return {n: dict(zip(probs, row[i] or [None] * len(probs))) for i, n in enumerate(names)}
+        return _counted_quantiles(narrow, names, probs, exact_limit)
 
     accuracy, slack = 20_000, 2 / 20_000
     edges = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
@@ -253,9 +259,29 @@ def exact_quantiles(
         .collect()
     )
     for row in picked:
-        i, p, _, _, lo, hi, at, _ = jobs[int(row["job"])]
-        a, b = row["low"], row["high"]
-        out[names[i]][p] = a if lo == hi or a == b else (hi - at) * a + (at - lo) * b
+        i, p, *_, at, _ = jobs[int(row["job"])]
+        out[names[i]][p] = _interpolated(row["low"], row["high"], at)
+    return out
+
+
+def _counted_quantiles(narrow: DataFrame, names: list[str], probs: list[float], rows: int):
+    counts = (
+        narrow.unpivot([], narrow.columns, "column", "value").where(F.col("value").isNotNull())
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    cum = running_totals(counts, ["n"], rows).join(F.broadcast(totals), "column")  # one row per column
+    at = [F.lit(p) * (F.col("total") - 1) for p in probs]
+    first = lambda rank: F.min(F.when(F.col("cum_n") > rank, F.col("value")))
+    picked = cum.groupBy("column").agg(
+        F.max("total").alias("total"),
+        *[first(F.floor(x)).alias(f"low{k}") for k, x in enumerate(at)],
+        *[first(F.ceil(x)).alias(f"high{k}") for k, x in enumerate(at)],
+    )
+    out = {n: {p: None for p in probs} for n in names}
+    for r in picked.collect():
+        for k, p in enumerate(probs):
+            out[names[int(r["column"][1:])]][p] = _interpolated(r[f"low{k}"], r[f"high{k}"], p * (r["total"] - 1))
     return out
 
 
@@ -277,7 +303,7 @@ def weighted_quantile(counts: DataFrame, value: str, weight: str, prob: float, r
         .agg(F.min(F.when(F.col("cum_n") > lo, F.col("value"))), F.min(F.when(F.col("cum_n") > hi, F.col("value"))))
         .first()
     )
-    return a if lo == hi or a == b else (hi - at) * a + (at - lo) * b
+    return _interpolated(a, b, at)
 
 
 def medians(df: DataFrame, columns: dict[str, Column], **kw) -> dict[str, float]:

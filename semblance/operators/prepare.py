@@ -9,6 +9,7 @@ from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semblance.functions.scalars import clipped, col, label, normalized, number, present_or_missing
 from semblance.operators.order import hash_numbered, medians, running_totals
@@ -116,21 +117,21 @@ def training_frame(df: DataFrame, schema: TableSchema) -> DataFrame:
         df = df.where(col(schema.target).isNotNull())
     numeric = [c for c in schema.numeric if c in df.columns]
     xs = {c: number(col(c), types[c]) for c in numeric}
-    bad = df.agg(
+    found = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count(F.when(col(c).isNotNull() & xs[c].isNull(), 1)).alias(f"b{i}") for i, c in enumerate(numeric)
-          if str(types[c]) == "StringType()"],
+        *[F.count(col(c)).alias(f"p{i}") for i, c in enumerate(numeric)],
+        *[F.count(xs[c]).alias(f"x{i}") for i, c in enumerate(numeric)],
     ).first()
-    if schema.target and bad["n"] == 0:
+    if schema.target and found["n"] == 0:
         raise ValueError(f"Target column '{schema.target}' has no usable non-missing rows for training.")
     for i, c in enumerate(numeric):
-        if f"b{i}" in bad and bad[f"b{i}"]:
+        if isinstance(types[c], T.StringType) and found[f"x{i}"] < found[f"p{i}"]:
             raise ValueError(f"Column '{c}' is marked numeric but contains non-numeric values.")
-    fill = medians(df, xs)
+    fill = medians(df, {c: xs[c] for i, c in enumerate(numeric) if found[f"x{i}"] < found["n"]})
     keep = [c for c in df.columns if c in schema.used]
     return df.select(
         *[
-            (F.coalesce(xs[c], F.lit(fill[c])) if c in xs else present_or_missing(label(col(c), types[c]))).alias(c)
+            ((F.coalesce(xs[c], F.lit(fill[c])) if c in fill else xs[c]) if c in xs else present_or_missing(label(col(c), types[c]))).alias(c)
             for c in keep
         ]
     )
