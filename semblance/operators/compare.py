@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semblance.functions.scalars import col, is_numeric, label, number, safe_ratio
-from semblance.operators.order import medians, running_totals
+from semblance.operators.order import chunks_for, medians, running_totals, sampled_cuts
 
 # Fixed values.
 COERCIBLE_SHARE = 0.8
@@ -224,12 +224,16 @@ def _with_zeroes(real: DataFrame, columns: list[str], parts: list[DataFrame], na
 def two_sample_cdf(pair: NumericPair, chunks: int | None = None) -> DataFrame:
     """Per column and distinct value both empirical CDFs and the gap to the next value."""
     counts = _both_counts(pair.real, pair.synthetic, pair.columns, F.col("value"))
-    cum = running_totals(counts, ["n_real", "n_synthetic"], pair.rows, chunks=chunks)
-    n = counts.groupBy("column").agg(F.sum("n_real").alias("nr"), F.sum("n_synthetic").alias("ns"))
-    return cum.join(F.broadcast(n), "column").select(
+    chunks = chunks or chunks_for(pair.rows)
+    cuts = None
+    if chunks > 1:
+        both = pair.real.unionByName(pair.synthetic)
+        cuts = sampled_cuts(both, pair.columns, pair.rows, chunks)
+    cum = running_totals(counts, ["n_real", "n_synthetic"], pair.rows, chunks=chunks, cuts=cuts)
+    return cum.select(
         "column", "value", "n_real", "n_synthetic",
-        (F.col("cum_n_real") / F.col("nr")).alias("cdf_real"),
-        (F.col("cum_n_synthetic") / F.col("ns")).alias("cdf_synthetic"),
+        (F.col("cum_n_real") / F.when(F.col("total_n_real") > 0, F.col("total_n_real"))).alias("cdf_real"),
+        (F.col("cum_n_synthetic") / F.when(F.col("total_n_synthetic") > 0, F.col("total_n_synthetic"))).alias("cdf_synthetic"),
         (F.col("next_value") - F.col("value")).alias("width"),
     )
 

@@ -9,16 +9,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semblance.functions.scalars import col
 from semblance.session import materialised
 
-# One task may hold this many rows of a chunk.
-ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 1_024
+ROWS_PER_CHUNK = 250_000
+MAX_CHUNKS = 2_048
 SAMPLES_PER_CHUNK = 40
+# Tables up to this size are counted whole; beyond it quantiles are bracketed first.
+COUNTED_ROWS = 2_000_000
 
 
 def chunks_for(rows: int) -> int:
@@ -88,24 +91,27 @@ def rolling(
 # -- running totals over sorted distinct values ------------------------------
 
 
-def _splitters(counts: DataFrame, key: str, value: str, rows: int, chunks: int) -> dict[str, list]:
-    """Cut points per key from a bounded hash sample; they shape the work, not the result."""
-    step = max(1, rows // (chunks * SAMPLES_PER_CHUNK))
-    sample = (
-        counts.where(F.pmod(F.xxhash64(key, value), F.lit(step)) == 0)
-        .select(key, value)
-        .limit(chunks * SAMPLES_PER_CHUNK * 4)
-        .collect()
-    )
+def _even_cuts(values: list, chunks: int) -> list:
+    values = sorted(values)
+    stride = max(1, len(values) // chunks)
+    return sorted(set(values[stride::stride]))
+
+
+def sampled_cuts(df: DataFrame, columns: Sequence[str], rows: int, chunks: int) -> dict[str, list]:
+    """Cut points per column from a bounded row sample; they shape the work, not the result."""
+    wanted = chunks * SAMPLES_PER_CHUNK
+    sample = df.select(*map(col, columns)).sample(min(1.0, wanted / max(rows, 1)), seed=7).limit(2 * wanted).collect()
+    return {c: _even_cuts([r[i] for r in sample if r[i] is not None], chunks) for i, c in enumerate(columns)}
+
+
+def _counted_cuts(counts: DataFrame, key: str, value: str, rows: int, chunks: int) -> dict[str, list]:
+    """The same from the counted values, where the rows are not at hand."""
+    wanted = chunks * SAMPLES_PER_CHUNK
+    picked = F.pmod(F.xxhash64(key, value), F.lit(max(1, rows // wanted))) == 0
     per_key: dict[str, list] = {}
-    for k, v in sample:
+    for k, v in counts.where(picked).select(key, value).limit(4 * wanted).collect():
         per_key.setdefault(k, []).append(v)
-    cuts = {}
-    for k, values in per_key.items():
-        values.sort()
-        stride = max(1, len(values) // chunks)
-        cuts[k] = sorted(set(values[stride::stride]))
-    return cuts
+    return {k: _even_cuts(values, chunks) for k, values in per_key.items()}
 
 
 def running_totals(
@@ -115,12 +121,14 @@ def running_totals(
     key: str = "column",
     value: str = "value",
     chunks: int | None = None,
+    cuts: dict[str, list] | None = None,
 ) -> DataFrame:
     """Running sum of each measure over the distinct values of each key.
 
     ``counts`` has one row per (key, value).  The result adds ``cum_<measure>``
-    (inclusive) and ``next_value``.  ``rows`` bounds the row count and decides
-    how many chunks each key is cut into; one chunk needs no extra pass.
+    (inclusive), the key's ``total_<measure>`` and ``next_value``.  ``rows`` bounds the row count and decides
+    how many chunks each key is cut into; one chunk needs no extra pass.  The
+    cuts are constants of the plan, so a recomputed task cuts the same way.
     """
     chunks = chunks or chunks_for(rows)
     if chunks == 1:
@@ -129,19 +137,13 @@ def running_totals(
         return counts.select(
             "*",
             *[F.sum(m).over(upto).alias(f"cum_{m}") for m in measures],
+            *[F.sum(m).over(Window.partitionBy(key)).alias(f"total_{m}") for m in measures],
             F.lead(value).over(w).alias("next_value"),
         )
 
-    counts = materialised(counts)
-    spark = counts.sparkSession
-    cuts = _splitters(counts, key, value, rows, chunks)
-    dtype = counts.schema[value].dataType
-    table = spark.createDataFrame(
-        [(k, c) for k, c in cuts.items()], f"`__k` {counts.schema[key].dataType.simpleString()}, `__cuts` array<{dtype.simpleString()}>"
-    )
-    # The cut table is bounded by keys x chunks, so it may be broadcast.
-    placed = counts.join(F.broadcast(table), F.col(key) == F.col("__k"), "left")
-    placed = placed.withColumn("__chunk", _chunk_of(F.col("__cuts"), F.col(value))).drop("__k", "__cuts")
+    if cuts is None:
+        cuts = _counted_cuts(counts, key, value, rows, chunks)
+    placed = _with_chunk(counts, key, value, cuts)
     totals = placed.groupBy(key, "__chunk").agg(
         *[F.sum(m).alias(f"__t_{m}") for m in measures], F.min(value).alias("__first")
     )
@@ -151,6 +153,7 @@ def running_totals(
         F.col(key).alias("__k"),
         F.col("__chunk").alias("__c"),
         *[F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
+        *[F.sum(f"__t_{m}").over(Window.partitionBy(key)).alias(f"total_{m}") for m in measures],
         F.lead("__first").over(by_chunk).alias("__next_first"),
     )
     w = Window.partitionBy(key, "__chunk").orderBy(value)
@@ -160,14 +163,40 @@ def running_totals(
         *[F.sum(m).over(upto).alias(f"__l_{m}") for m in measures],
         F.lead(value).over(w).alias("__lead"),
     )
-    joined = local.join(F.broadcast(offsets), (F.col(key) == F.col("__k")) & (F.col("__chunk") == F.col("__c")))
+    # Keys x chunks rows at most, so the offsets may be broadcast.  A null-safe
+    # join infers no filter, so both sides keep the same counts and share them.
+    same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__chunk").eqNullSafe(F.col("__c"))
+    joined = local.join(F.broadcast(offsets), same)
     return joined.select(
         *[col(c) for c in counts.columns],
         *[(F.col(f"__l_{m}") + F.col(f"__o_{m}")).alias(f"cum_{m}") for m in measures],
+        *[F.col(f"total_{m}") for m in measures],
         F.coalesce("__lead", "__next_first").alias("next_value"),
     )
 
 
+def _with_chunk(counts: DataFrame, key: str, value: str, cuts: dict[str, list]) -> DataFrame:
+    dtype = counts.schema[value].dataType
+    cuts = {k: c for k, c in cuts.items() if c}
+    if not cuts:
+        return counts.withColumn("__chunk", F.lit(0))
+    if isinstance(dtype, T.DoubleType):  # a binary search per key in the JVM
+        names = [f"__v{i}" for i in range(len(cuts))]
+        apart = counts.select("*", *[F.when(F.col(key) == k, F.col(value)).alias(n) for k, n in zip(cuts, names)])
+        found = Bucketizer(
+            splitsArray=[[float("-inf"), *c, float("inf")] for c in cuts.values()], inputCols=names, outputCols=[f"{n}c" for n in names],
+            handleInvalid="keep",
+        ).transform(apart)
+        chunk = F.coalesce(*[F.col(f"{n}c") for n in names], F.lit(0.0)).cast("int")
+        return found.select(*[col(c) for c in counts.columns], chunk.alias("__chunk"))
+    table = counts.sparkSession.createDataFrame(
+        list(cuts.items()), f"`__k` {counts.schema[key].dataType.simpleString()}, `__cuts` array<{dtype.simpleString()}>"
+    )
+    # bounded by keys x chunks, so it may be broadcast
+    placed = counts.join(F.broadcast(table), F.col(key) == F.col("__k"), "left")
+    return placed.withColumn("__chunk", _chunk_of(F.col("__cuts"), F.col(value))).drop("__k", "__cuts")
+
+
 def _chunk_of(cuts: Column, v: Column, fan: int = 32) -> Column:
     """How many cut points lie below ``v``: a search in two steps of ``fan``."""
     coarse = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(cuts) / fan).cast("int"))),
@@ -188,7 +217,7 @@ def _interpolated(low, high, at: float) -> float | None:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: Sequence[float], exact_limit: int = ROWS_PER_CHUNK
+    df: DataFrame, columns: dict[str, Column], probs: Sequence[float], exact_limit: int = COUNTED_ROWS
 ) -> dict[str, dict[float, float | None]]:
     """Exact linear-interpolated quantiles of several double columns.
 
@@ -201,8 +230,9 @@ def exact_quantiles(
         return {}
     names, probs = list(columns), [float(p) for p in probs]
     narrow = df.select(*[columns[n].alias(f"q{i}") for i, n in enumerate(names)])
-    if narrow.limit(exact_limit + 1).count() <= exact_limit:
-        return _counted_quantiles(narrow, names, probs, exact_limit)
+    rows = narrow.limit(exact_limit + 1).count()
+    if rows <= exact_limit:
+        return _counted_quantiles(narrow, names, probs, rows)
 
     accuracy, slack = 20_000, 2 / 20_000
     edges = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
@@ -210,6 +240,7 @@ def exact_quantiles(
         *[F.count(f"q{i}").alias(f"n{i}") for i in range(len(names))],
         *[F.percentile_approx(f"q{i}", edges, accuracy).alias(f"e{i}") for i in range(len(names))],
     ).first()
+    sketch_rows = max(sketch[f"n{i}"] for i in range(len(names)))
     jobs = []  # (column index, prob, low, high, rank below, rank above)
     for i in range(len(names)):
         n = sketch[f"n{i}"]
@@ -244,8 +275,8 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     whole = any(j[2] == float("-inf") for j in jobs)
-    rows = narrow.count() * len(jobs) if whole else ROWS_PER_CHUNK
-    cum = running_totals(counts, ["n"], rows, key="job")
+    inside_rows = sketch_rows if whole else int(2 * slack * sketch_rows) + 1
+    cum = running_totals(counts, ["n"], inside_rows, key="job")
     frame = narrow.sparkSession.createDataFrame(
         [(str(k), j[4] - j[7], j[5] - j[7]) for k, j in enumerate(jobs)], "__job string, low bigint, high bigint"
     )
@@ -269,12 +300,13 @@ def _counted_quantiles(narrow: DataFrame, names: list[str], probs: list[float],
         narrow.unpivot([], narrow.columns, "column", "value").where(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    cum = running_totals(counts, ["n"], rows).join(F.broadcast(totals), "column")  # one row per column
-    at = [F.lit(p) * (F.col("total") - 1) for p in probs]
+    chunks = chunks_for(rows)
+    cuts = sampled_cuts(narrow, narrow.columns, rows, chunks) if chunks > 1 else None
+    cum = running_totals(counts, ["n"], rows, chunks=chunks, cuts=cuts)
+    at = [F.lit(p) * (F.col("total_n") - 1) for p in probs]
     first = lambda rank: F.min(F.when(F.col("cum_n") > rank, F.col("value")))
     picked = cum.groupBy("column").agg(
-        F.max("total").alias("total"),
+        F.max("total_n").alias("total"),
         *[first(F.floor(x)).alias(f"low{k}") for k, x in enumerate(at)],
         *[first(F.ceil(x)).alias(f"high{k}") for k, x in enumerate(at)],
     )

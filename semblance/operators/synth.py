@@ -111,11 +111,10 @@ def category_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, lo, hi, z): each category's share interval and the score of its middle."""
     counts = value_counts(df, columns)
     cum = running_totals(counts, ["count"], df.count() * len(columns))
-    totals = counts.groupBy("column").agg(F.sum("count").alias("total"))
-    shares = cum.join(F.broadcast(totals), "column").select(
+    shares = cum.select(
         "column", "value",
-        ((F.col("cum_count") - F.col("count")) / F.col("total")).alias("lo"),
-        (F.col("cum_count") / F.col("total")).alias("hi"),
+        ((F.col("cum_count") - F.col("count")) / F.col("total_count")).alias("lo"),
+        (F.col("cum_count") / F.col("total_count")).alias("hi"),
     )
     return shares.withColumn("z", normal_score((F.col("lo") + F.col("hi")) / 2))
 
