@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from semblance.functions.scalars import col
 from semblance.session import materialised
 
-ROWS_PER_CHUNK = 250_000
-MAX_CHUNKS = 2_048
-SAMPLES_PER_CHUNK = 40
+ROWS_PER_CHUNK = 64_000
+MAX_CHUNKS = 4_096
+SAMPLES_PER_CHUNK = 20
 # Tables up to this size are counted whole; beyond it quantiles are bracketed first.
 COUNTED_ROWS = 2_000_000
 
@@ -32,30 +32,36 @@ def chunks_for(rows: int) -> int:
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str = "idx"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str = "idx",
+    total: str | None = None,
 ) -> DataFrame:
     """``row_number`` per key (from 1), with the key's rows spread over chunks.
 
-    ``chunk`` must not decrease along ``order``.
+    ``chunk`` must not decrease along ``order``.  ``total`` adds the key's row count.
     """
     cut = df.withColumn("__chunk", chunk)
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         cut.groupBy(*keys, "__chunk")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*keys, "__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+        .select(
+            *keys, "__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+            F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
+        )
     )
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
     local = cut.withColumn("__rn", F.row_number().over(inside))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__chunk"]]
     joined = local.alias("a").join(totals.alias("b"), same)
     return joined.select(
-        *[F.col("a." + "`" + c + "`") for c in df.columns], (F.col("__rn") + F.col("__before")).alias(name)
+        *[F.col("a." + "`" + c + "`") for c in df.columns], (F.col("__rn") + F.col("__before")).alias(name),
+        *([F.col("__total").alias(total)] if total else []),
     )
 
 
 def hash_numbered(
-    df: DataFrame, keys: Sequence[str], row_key: Column, seed: int = 42, chunk_bits: int = 6, name: str = "idx"
+    df: DataFrame, keys: Sequence[str], row_key: Column, seed: int = 42, chunk_bits: int = 10, name: str = "idx",
+    total: str | None = None,
 ) -> DataFrame:
     """A seeded shuffle order per key: 1..n, reproducible on any partitioning.
 
@@ -63,7 +69,7 @@ def hash_numbered(
     """
     drawn = df.withColumn("__draw", F.xxhash64(row_key, F.lit(seed))).withColumn("__tie", row_key)
     chunk = F.shiftright("__draw", 64 - chunk_bits)
-    return numbered(drawn, keys, [F.col("__draw"), F.col("__tie")], chunk, name).drop("__draw", "__tie")
+    return numbered(drawn, keys, [F.col("__draw"), F.col("__tie")], chunk, name, total).drop("__draw", "__tie")
 
 
 def rolling(

@@ -169,19 +169,15 @@ def one_hot(df: DataFrame, columns: list[str], limit: int = 256, buckets: int =
 
 
 def stratified_split(
-    df: DataFrame, target: str, row_key: str, test_share: float = 0.3, seed: int = 42, chunk_bits: int = 6
+    df: DataFrame, target: str, row_key: str, test_share: float = 0.3, seed: int = 42, chunk_bits: int = 10
 ) -> DataFrame:
     """Adds ``is_test``: in each class the rounded share of rows with the smallest seeded hash.
 
     The rank comes from hash chunks, so a class of any size is spread over tasks.
     """
-    ranked = hash_numbered(df, [target], col(row_key), seed, chunk_bits, "__idx")
-    sizes = df.groupBy(col(target).alias("__class")).agg(F.floor(F.count(F.lit(1)) * test_share + 0.5).alias("__test"))
-    return (
-        ranked.join(sizes, col(target).eqNullSafe(F.col("__class")))
-        .withColumn("is_test", F.col("__idx") <= F.col("__test"))
-        .drop("__idx", "__class", "__test")
-    )
+    ranked = hash_numbered(df, [target], col(row_key), seed, chunk_bits, "__idx", "__size")
+    n_test = F.floor(F.col("__size") * test_share + 0.5)
+    return ranked.withColumn("is_test", F.col("__idx") <= n_test).drop("__idx", "__size")
 
 
 def class_weight(df: DataFrame, target: str, positive) -> DataFrame:
