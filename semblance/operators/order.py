@@ -104,9 +104,12 @@ def _even_cuts(values: list, chunks: int) -> list:
 
 
 def sampled_cuts(df: DataFrame, columns: Sequence[str], rows: int, chunks: int) -> dict[str, list]:
-    """Cut points per column from a bounded row sample; they shape the work, not the result."""
+    """Cut points per column from about ``chunks * SAMPLES_PER_CHUNK`` of the ``rows``.
+
+    They shape the work, not the result.
+    """
     wanted = chunks * SAMPLES_PER_CHUNK
-    sample = df.select(*map(col, columns)).sample(min(1.0, wanted / max(rows, 1)), seed=7).limit(2 * wanted).collect()
+    sample = df.select(*map(col, columns)).sample(min(1.0, wanted / max(rows, 1)), seed=7).collect()
     return {c: _even_cuts([r[i] for r in sample if r[i] is not None], chunks) for i, c in enumerate(columns)}
 
 
@@ -115,7 +118,7 @@ def _counted_cuts(counts: DataFrame, key: str, value: str, rows: int, chunks: in
     wanted = chunks * SAMPLES_PER_CHUNK
     picked = F.pmod(F.xxhash64(key, value), F.lit(max(1, rows // wanted))) == 0
     per_key: dict[str, list] = {}
-    for k, v in counts.where(picked).select(key, value).limit(4 * wanted).collect():
+    for k, v in counts.where(picked).select(key, value).collect():
         per_key.setdefault(k, []).append(v)
     return {k: _even_cuts(values, chunks) for k, values in per_key.items()}
 
@@ -236,7 +239,7 @@ def exact_quantiles(
         return {}
     names, probs = list(columns), [float(p) for p in probs]
     narrow = df.select(*[columns[n].alias(f"q{i}") for i, n in enumerate(names)])
-    rows = narrow.limit(exact_limit + 1).count()
+    rows = narrow.count()
     if rows <= exact_limit:
         return _counted_quantiles(narrow, names, probs, rows)
 
@@ -246,7 +249,6 @@ def exact_quantiles(
         *[F.count(f"q{i}").alias(f"n{i}") for i in range(len(names))],
         *[F.percentile_approx(f"q{i}", edges, accuracy).alias(f"e{i}") for i in range(len(names))],
     ).first()
-    sketch_rows = max(sketch[f"n{i}"] for i in range(len(names)))
     jobs = []  # (column index, prob, low, high, rank below, rank above)
     for i in range(len(names)):
         n = sketch[f"n{i}"]
@@ -281,7 +283,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     whole = any(j[2] == float("-inf") for j in jobs)
-    inside_rows = sketch_rows if whole else int(2 * slack * sketch_rows) + 1
+    inside_rows = rows if whole else int(2 * slack * rows) + 1
     cum = running_totals(counts, ["n"], inside_rows, key="job")
     frame = narrow.sparkSession.createDataFrame(
         [(str(k), j[4] - j[7], j[5] - j[7]) for k, j in enumerate(jobs)], "__job string, low bigint, high bigint"

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from semblance.functions.scalars import col, integer_like, label, number
 
-# Fixed values.
+# Limits and messages.
 MIN_CLASSES = 2
 MAX_CLASSES = 20
+ABSENT_TARGET = "Target column '%s' not found. Available columns: %s"
+EMPTY_TARGET = "Target column '%s' cannot be entirely empty or NaN."
+ONE_CLASS = "Target column must contain at least 2 unique classes for classification. Found %d."
+MANY_CLASSES = "Target column must have 2-20 unique values for classification. Found %d unique values."
+CONTINUOUS_TARGET = "Target column must contain discrete class labels. Continuous float targets are not supported."
 CONFIG_RULES = {
     "epochs": "epochs BETWEEN 1 AND 2000",
     "batch_size": "batch_size BETWEEN 32 AND 4096",
@@ -32,8 +37,7 @@ class TableError(ValueError):
 def target_rules(df: DataFrame, target: str) -> DataFrame:
     """Every rule for a label column as (rule, passed, message), in checking order.
 
-    The distinct count stops at one more than the allowed number of classes:
-    ``collect_set`` would grow with the data, the grouped count does not.
+    Labels are grouped first: a set of the distinct labels would grow with the data.
     """
     text = label(col(target), df.schema[target].dataType)
     kind = df.schema[target].dataType
@@ -50,24 +54,14 @@ def target_rules(df: DataFrame, target: str) -> DataFrame:
         F.coalesce(F.bool_and("all_numbers"), F.lit(False)).alias("all_numbers"),
         F.coalesce(F.bool_and("integers"), F.lit(True)).alias("integers"),
     )
-    found = F.col("classes").cast("string")
     rule = lambda no, name, passed, message: F.struct(
         F.lit(no).alias("rule_no"), F.lit(name).alias("rule"), passed.alias("passed"), message.alias("message")
     )
     rules = F.array(
-        rule(1, "not_empty", F.col("values") > 0, F.lit(f"Target column '{target}' cannot be entirely empty or NaN.")),
-        rule(
-            2, "enough_classes", F.col("classes") >= MIN_CLASSES,
-            F.concat(F.lit("Target column must contain at least 2 unique classes for classification. Found "), found, F.lit(".")),
-        ),
-        rule(
-            3, "few_classes", F.col("classes") <= MAX_CLASSES,
-            F.concat(F.lit("Target column must have 2-20 unique values for classification. Found "), found, F.lit(" unique values.")),
-        ),
-        rule(
-            4, "discrete", ~(F.col("all_numbers") & ~F.col("integers")),
-            F.lit("Target column must contain discrete class labels. Continuous float targets are not supported."),
-        ),
+        rule(1, "not_empty", F.col("values") > 0, F.lit(EMPTY_TARGET % target)),
+        rule(2, "enough_classes", F.col("classes") >= MIN_CLASSES, F.format_string(ONE_CLASS, "classes")),
+        rule(3, "few_classes", F.col("classes") <= MAX_CLASSES, F.format_string(MANY_CLASSES, "classes")),
+        rule(4, "discrete", ~(F.col("all_numbers") & ~F.col("integers")), F.lit(CONTINUOUS_TARGET)),
     )
     return facts.select(F.inline(rules))
 
@@ -75,7 +69,7 @@ def target_rules(df: DataFrame, target: str) -> DataFrame:
 def validate_target(df: DataFrame, target: str) -> None:
     """Raise for the first broken rule."""
     if target not in df.columns:
-        raise TableError(f"Target column '{target}' not found. Available columns: {', '.join(df.columns)}")
+        raise TableError(ABSENT_TARGET % (target, ", ".join(df.columns)))
     broken = target_rules(df, target).where(~F.col("passed")).orderBy("rule_no").first()
     if broken:
         raise TableError(broken["message"])

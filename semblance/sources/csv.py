@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from semblance.functions.scalars import NUMBER_TEXT, col, finite, normalized
 from semblance.operators.validate import TableError
 
-# Texts read as missing.
+# Texts read as missing, text forms, messages.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -18,6 +18,11 @@ NA_TOKENS = [
 INTEGER_TEXT = r"^[+-]?[0-9]{1,18}$"
 BOOLEAN_TEXTS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 INFINITE_TEXT = r"(?i)^[+-]?inf(inity)?$"
+NO_CSV = "File must be CSV format"
+EMPTY_CSV = "Uploaded CSV is empty."
+CORRUPT_CSV = "Uploaded CSV is corrupted or could not be parsed."
+NO_ROWS = "CSV must contain at least one row and one column."
+
 CORRUPT = "__corrupt"
 
 
@@ -47,10 +52,10 @@ def scan_csv(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     try:
         header = reader.csv(path)
     except AnalysisException as e:
-        raise TableError(f"File must be CSV format: no readable .csv under '{path}'.") from e
+        raise TableError(f"{NO_CSV}: no readable .csv under '{path}'.") from e
     names = header.columns
     if not names:
-        raise TableError("Uploaded CSV is empty.")
+        raise TableError(EMPTY_CSV)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
     raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
     value = {n: F.when(~col(n).isin(*NA_TOKENS), col(n)) for n in names}
@@ -65,8 +70,8 @@ def scan_csv(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
         *[F.count(F.when(is_number(value[n]), 1)).alias(f"d{i}") for i, n in enumerate(names)],
     ).first()
     if found["flagged"]:
-        raise TableError("Uploaded CSV is corrupted or could not be parsed.")
+        raise TableError(CORRUPT_CSV)
     if not found["rows"]:
-        raise TableError("CSV must contain at least one row and one column.")
+        raise TableError(NO_ROWS)
     typed = raw.select(*[_inferred(value[n], found, i).alias(n) for i, n in enumerate(names)])
     return normalized(typed)

@@ -18,6 +18,8 @@ def duck():
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if name in entry.oracle_sql():
         assert compare(df, duck, entry.oracle_sql()[name]) is None
     else:
