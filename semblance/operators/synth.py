@@ -68,18 +68,26 @@ class SynthModel:
 # -- piecewise-linear maps ---------------------------------------------------
 
 
+def _segments(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Adds ``__seg_<column>``: how many cuts are at or below the value, by binary search in the JVM."""
+    if not cuts:
+        return df
+    # positional names, as the stage cannot address names with dots
+    names = [f"__x{i}" for i in range(len(cuts))]
+    found = Bucketizer(
+        splitsArray=[[float("-inf"), *c, float("inf")] for c in cuts.values()], inputCols=names, outputCols=[f"{n}s" for n in names],
+        handleInvalid="keep",
+    ).transform(df.select("*", *[col(c).alias(n) for c, n in zip(cuts, names)]))
+    return found.select(*map(col, df.columns), *[F.col(f"{n}s").cast("int").alias(f"__seg_{c}") for c, n in zip(cuts, names)])
+
+
 def interpolated(df: DataFrame, maps: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """Replace columns by a piecewise-linear function given as (xs, ys), flat outside.
 
     The segment is found by binary search in the JVM.
     """
     searched = {c: m for c, m in maps.items() if len(m[0]) > 2}
-    out = df
-    if searched:
-        out = Bucketizer(
-            splitsArray=[[float("-inf"), *m[0][1:-1], float("inf")] for m in searched.values()],
-            inputCols=list(searched), outputCols=[f"__seg_{c}" for c in searched], handleInvalid="keep",
-        ).transform(df)
+    out = _segments(df, {c: m[0][1:-1] for c, m in searched.items()})
     done = []
     for c in df.columns:
         if c not in maps:
@@ -90,7 +98,7 @@ def interpolated(df: DataFrame, maps: dict[str, tuple[list[float], list[float]]]
             done.append(F.when(col(c).isNotNull(), F.lit(float(ys[0]))).alias(c))
             continue
         slopes = [(y1 - y0) / (x1 - x0) for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:])]
-        seg = (col(f"__seg_{c}").cast("int") + 1) if c in searched else F.lit(1)
+        seg = (col(f"__seg_{c}") + 1) if c in searched else F.lit(1)
         at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), seg)
         x = F.least(F.lit(float(xs[-1])), F.greatest(F.lit(float(xs[0])), col(c)))
         done.append(F.when(col(c).isNotNull(), at(ys[:-1]) + (x - at(xs[:-1])) * at(slopes)).alias(c))
@@ -232,14 +240,9 @@ def _categories_from_scores(df: DataFrame, model: SynthModel, columns: list[str]
         labels[r["column"]].append(r["value"])
         cuts[r["column"]].append(NormalDist().inv_cdf(r["hi"]) if 0 < r["hi"] < 1 else float("inf"))
     searched = [c for c in small if len(labels[c]) > 1]
-    out = df
-    if searched:
-        out = Bucketizer(
-            splitsArray=[[float("-inf"), *cuts[c][:-1], float("inf")] for c in searched],
-            inputCols=searched, outputCols=[f"__cat_{c}" for c in searched],
-        ).transform(df)
+    out = _segments(df, {c: cuts[c][:-1] for c in searched})
     pick = lambda c: (
-        F.element_at(F.array(*map(F.lit, labels[c])), col(f"__cat_{c}").cast("int") + 1) if c in searched else F.lit(labels[c][0])
+        F.element_at(F.array(*map(F.lit, labels[c])), col(f"__seg_{c}") + 1) if c in searched else F.lit(labels[c][0])
     )
     out = out.select(*[(pick(c) if c in small else col(c)).alias(c) for c in df.columns])
     for c in columns:

@@ -2,10 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from semblance.operators import compare as C
 from semblance.operators import learn as L
 from semblance.operators import prepare as P
+from semblance.operators import report as R
 from semblance.operators import synth as Y
-from semblance.operators.profile import TableSchema
+from semblance.operators.profile import TableSchema, profile
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +141,14 @@ def test_conditional_generation(spark, rows):
     assert fixed.agg(F.min("x"), F.max("x")).first() == (90.0, 90.0) and fixed.agg(F.avg("k")).first()[0] > 1500
     with pytest.raises(ValueError, match="no category"):
         Y.generate(spark, model, 5, condition={"y": "maybe"})
+
+
+def test_awkward_column_names(spark):
+    df = spark.range(300).selectExpr("id", "cast(id % 50 AS double) AS `a.b`", "cast(id % 40 AS double) AS `c d`", "concat('v', id % 3) AS `e.f`", "concat('y', id % 2) AS `y.z`")
+    schema = TableSchema.from_profile(profile(df.drop("id"), "y.z").collect())
+    assert schema == TableSchema(("a.b", "c d"), ("e.f",), (), "y.z")
+    made = Y.generate(spark, Y.fit(df, schema), 100)
+    assert made.columns == ["a.b", "c d", "e.f", "y.z"] and made.count() == 100
+    assert C.kl_divergence(df.drop("id"), made).count() == 4
+    assert R.quality_report(df, made, schema).count() == 6
+    assert L.train_real(df, "y.z", "y1", "id", rounds=1)[1].count() == 1
