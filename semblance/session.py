@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,18 @@ def materialised(df: DataFrame) -> DataFrame:
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Workers import the functions they run by name, wherever the driver was
+    started, so the package must be on their path and not only on the driver's.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_semblance_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="semblance-package-")
+    context.addPyFile(shutil.make_archive(f"{folder}/semblance", "zip", here.parent, here.name))
+    context._semblance_shipped = True
