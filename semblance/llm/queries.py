@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semblance.llm import decontaminate, licenses
+from semblance.llm import decontaminate, exact, licenses, lines, pieces, pii, secret_scan, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +26,83 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_secret_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(secret_scan.samples(docs))))
+
+
+OP2 = """
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS at, words FROM w WHERE len(words) >= 50),
+    k AS (SELECT doc_id, at, md5(array_to_string(words[at:at + 49], ' ')) AS key FROM s),
+    f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING min(doc_id) < max(doc_id)),
+    g AS (SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS pos FROM k JOIN f USING (key) WHERE doc_id > first),
+    p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+    r AS (SELECT p.doc_id, p.pos, p.word, g.pos IS NOT NULL AS gone FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos)
+    SELECT w.doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+           sha256(coalesce(string_agg(word, ' ' ORDER BY r.pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM w LEFT JOIN r ON w.doc_id = r.doc_id GROUP BY w.doc_id"""
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.digest(substring.repeats(table(spark, folder, "documents")))
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.digest(pii.scan(docs, pii.train(docs)))
+
+
+OP5 = """
+    WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
+                      regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS norm FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+           row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+    FROM n WINDOW w AS (PARTITION BY norm ORDER BY c DESC, doc_id)"""
+
+
+@query("op5_exact_dedup", OP5)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.digest(exact.exact_duplicates(table(spark, folder, "documents")))
+
+
+OP6 = """
+    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    k AS (SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    d AS (SELECT k.doc_id, k.pos, k.line, c.key IS NOT NULL AND k.doc_id <> c.last AS gone FROM k LEFT JOIN c ON k.key = c.key)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM d GROUP BY doc_id"""
+
+
+@query("op6_line_dedup", OP6)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.digest(lines.kept(table(spark, folder, "documents")))
+
+
 @query("op7_decontaminate")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.windows_hit(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+@query("op8_pieces")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digest(pieces.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @query("op9_licenses")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, folder, "documents")))
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, folder, "documents")))
