@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semblance.llm import decontaminate, exact, licenses, lines, pieces, pii, secret_scan, simhash, substring
+from semblance.llm import decontaminate, exact, licenses, lines, pieces, pii, quality, secret_scan, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digest(substring.repeats(table(spark, folder, "documents")))
 
 
+@query("op3_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.digest(quality.score(docs, quality.train(docs, table(spark, folder, "labels"))))
+
+
 @query("op4_pii")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
