@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semblance.operators.profile import TableSchema
+from semblance.session import shared_folder
 
 VIEWS = {
     "pair_real": """
@@ -98,13 +99,7 @@ class Tables:
 
     def scratch(self) -> str:
         """A new folder on the storage the session's checkpoints use."""
-        conf = self.spark.sparkContext.getConf()
-        base = conf.get("spark.checkpoint.dir") or self.spark.sparkContext.getCheckpointDir()
-        if not base:
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="semblance-")
-        return f"{base.rstrip('/')}/semblance-{uuid4().hex}"
+        return f"{shared_folder(self.spark)}/semblance-{uuid4().hex}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -25,20 +25,27 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     return spark
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
-    where that is unset (tests on one machine) a temporary folder is used.
+    Only where that is unset and the driver is the one executor (tests on one
+    machine) a temporary folder takes its place.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="semblance-checkpoint-")
-        if not folder:
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
+        folder = tempfile.mkdtemp(prefix="semblance-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
