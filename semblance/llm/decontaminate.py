@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semblance.llm.text import body, hex_sha256, kept_rows, lowered, named, upto, words_of
+from semblance.session import materialised
 
 WINDOW = 10  # words that make a hit
 K = 5  # words of a gram
@@ -100,7 +101,7 @@ def windows_hit(
     )
     tried = rows.select("rid", F.explode("wins").alias("w")).select("rid", "w.*")
     small = count <= ROWS_TO_SEND
-    texts = known.select("h", "text").distinct()
+    texts = materialised(known.select("h", "text").distinct())
     hits = tried.join(F.broadcast(texts) if small else texts, ["h", "text"], "left_semi")
     covered = hits.groupBy("rid").agg(F.collect_set(F.struct("at", "size")).alias("at")).select(
         "rid",

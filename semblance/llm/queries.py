@@ -34,10 +34,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 OP2 = """
     WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
-    s AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS at, words FROM w WHERE len(words) >= 50),
-    k AS (SELECT doc_id, at, md5(array_to_string(words[at:at + 49], ' ')) AS key FROM s),
+    s AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50),
+    k AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS key FROM s),
     f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING min(doc_id) < max(doc_id)),
-    g AS (SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS pos FROM k JOIN f USING (key) WHERE doc_id > first),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM k JOIN f USING (key) WHERE doc_id > first),
     p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
     r AS (SELECT p.doc_id, p.pos, p.word, g.pos IS NOT NULL AS gone FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos)
     SELECT w.doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
@@ -45,7 +45,7 @@ OP2 = """
     FROM w LEFT JOIN r ON w.doc_id = r.doc_id GROUP BY w.doc_id"""
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", OP2)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digest(substring.repeats(table(spark, folder, "documents")))
 
@@ -92,7 +92,26 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return lines.digest(lines.kept(table(spark, folder, "documents")))
 
 
-@query("op7_decontaminate")
+OP7 = """
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    bs AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM bs),
+    sizes AS (SELECT DISTINCT n FROM bw),
+    ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= n),
+    dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS key FROM ds),
+    hits AS (SELECT dw.doc_id, dw.n, dw.i, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.key = bw.key),
+    pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits),
+    np AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+    ni AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN np ON d.doc_id = np.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id"""
+
+
+@query("op7_decontaminate", OP7)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.windows_hit(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
