@@ -8,6 +8,7 @@ from catalog.base import ORDER_SCHEMA, Tables, check, one_row, r, rounded
 from semblance.operators import learn as L
 from semblance.operators import prepare as P
 from semblance.operators import synth as Y
+from semblance.operators.profile import TableSchema
 
 TOKEN = "CASE WHEN priority IS NULL OR priority IN ('nan', '<NA>') THEN '__missing__' ELSE priority END"
 WORDS = """words AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) - 1 AS idx FROM (
@@ -180,22 +181,74 @@ def tstr_f1(t: Tables):
     return one_row(t.spark, f1=L.synthetic_to_real_f1(t("order_rows"), t("order_syn"), ORDER_SCHEMA))
 
 
-@check("synth_fit")
+SPANS = " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, v AS item, round((sum(n) OVER (ORDER BY v) - n) / sum(n) OVER (), 6) AS lo, round(sum(n) OVER (ORDER BY v) / sum(n) OVER (), 6) AS hi
+        FROM (SELECT {e} AS v, count(*) AS n FROM order_rows GROUP BY 1)"""
+    for c, e in (("priority", TOKEN), ("status", "status"))
+)
+
+
+@check(
+    "synth_fit",
+    f"""SELECT 'cust' AS column_name, NULL AS item, round(min(cust), 6) + 0e0 AS lo, round(max(cust), 6) + 0e0 AS hi FROM order_rows UNION ALL
+        SELECT 'total', NULL, round(min(total), 6), round(max(total), 6) FROM order_rows UNION ALL SELECT * FROM ({SPANS})""",
+    ("order_rows",),
+)
 def synth_fit(t: Tables):
+    """Each category's interval of probabilities and each numeric column's range."""
     model = Y.fit(t("order_rows"), ORDER_SCHEMA)
-    knots = [(c, str(i), None, float(v)) for c, m in model.numeric.items() for i, v in enumerate(m.knots)]
-    cells = [(a, b, None, float(model.correlation[i, j])) for i, a in enumerate(model.columns) for j, b in enumerate(model.columns)]
-    out = t.spark.createDataFrame(knots + cells, "column_1 string, item string, lo double, value double")
-    return out.unionByName(model.categories.select(F.col("column").alias("column_1"), F.col("value").alias("item"), "lo", F.col("z").alias("value")))
+    ends = t.spark.createDataFrame([(c, None, m.knots[0], m.knots[-1]) for c, m in model.numeric.items()], "column_name string, item string, lo double, hi double")
+    spans = model.categories.select(F.col("column").alias("column_name"), F.col("value").alias("item"), "lo", "hi")
+    return rounded(ends.unionByName(spans), lo=6, hi=6)
+
 
+def kept_inside(t: Tables, drawn, conditions: dict):
+    """Per column: drawn rows, rows outside what the real table holds, and rows that meet the condition."""
+    real = P.training_frame(t("order_rows"), ORDER_SCHEMA)
+    ends = real.agg(*[f(c).alias(f"{k}_{c}") for c in ORDER_SCHEMA.numeric for k, f in (("low", F.min), ("high", F.max))]).first()
+    known = {c: [r[0] for r in real.select(c).distinct().collect()] for c in ("priority", "status")}
+    outside = [F.count(F.when(~F.col(c).between(ends[f"low_{c}"], ends[f"high_{c}"]) | F.col(c).isNull(), 1)) for c in ORDER_SCHEMA.numeric]
+    outside += [F.count(F.when(~F.coalesce(F.col(c), F.lit("")).isin(known[c]), 1)) for c in known]
+    names = [*ORDER_SCHEMA.numeric, *known]
+    met = [F.count(F.when(F.col(c) == conditions[c], 1)) if c in conditions else F.count(F.lit(1)) for c in names]
+    cells = [F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n_rows"), o.alias("n_outside"), m.alias("n_met")) for c, o, m in zip(names, outside, met)]
+    return drawn.select(*[F.col(c) for c in drawn.columns]).agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("x")).select("x.*")
 
-@check("synth_generate")
+
+INSIDE = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, 0 AS n_outside, count(*) AS n_met FROM order_rows" for c in ("cust", "total", "priority", "status"))
+
+
+@check("synth_generate", INSIDE, ("order_rows",))
 def synth_generate(t: Tables):
+    """As many rows as the real table has, every column inside what that holds."""
     df = t("order_rows")
-    return Y.generate(t.spark, Y.fit(df, ORDER_SCHEMA), df.count())
+    return kept_inside(t, Y.generate(t.spark, Y.fit(df, ORDER_SCHEMA), df.count()), {})
 
 
-@check("synth_conditional")
+@check("synth_conditional", INSIDE, ("order_rows",))
 def synth_conditional(t: Tables):
     df = t("order_rows")
-    return Y.generate(t.spark, Y.fit(df, ORDER_SCHEMA), df.count(), condition={"status": "F"})
+    return kept_inside(t, Y.generate(t.spark, Y.fit(df, ORDER_SCHEMA), df.count(), condition={"status": "F"}), {"status": "F"})
+
+
+@check(
+    "synth_marginals",
+    """SELECT 'name' AS column_name, count(*) * 100 AS n_rows, 0 AS n_unknown, 0 AS n_missing, true AS within_chance FROM customer
+       UNION ALL SELECT 'cust', count(*) * 40, 0, 0, true FROM orders""",
+)
+def synth_marginals(t: Tables):
+    """Columns of very many categories: all are drawn, no others, each as often as its share asks, within eight deviations."""
+    names = t("customer").selectExpr("c_name AS name", "c_mktsegment AS label")
+    keys = t("orders").selectExpr("concat('c', o_custkey) AS cust", "o_orderstatus AS label")
+    out = None
+    for df, c, times in ((names, "name", 100), (keys, "cust", 40)):
+        n = df.count()
+        drawn = Y.generate(t.spark, Y.fit(df, TableSchema((), (c,), (), "label")), n * times).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("got"))
+        want = df.groupBy(F.col(c).alias("value")).agg((F.count(F.lit(1)) * times).alias("want"))
+        both = want.join(drawn, "value", "full").select(F.coalesce("want", F.lit(0)).alias("want"), F.coalesce("got", F.lit(0)).alias("got"))
+        found = both.agg(
+            F.sum("got").alias("n_rows"), F.count(F.when(F.col("want") == 0, 1)).alias("n_unknown"), F.count(F.when(F.col("got") == 0, 1)).alias("n_missing"),
+            F.bool_and(F.abs(F.col("got") - F.col("want")) <= 8 * F.sqrt("want")).alias("within_chance"),
+        ).select(F.lit(c).alias("column_name"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -14,11 +14,9 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from semblance.functions.scalars import col
 from semblance.operators.compare import correlations, covariances
@@ -27,12 +25,10 @@ from semblance.operators.prepare import hash_uniform, training_frame
 from semblance.operators.profile import TableSchema, value_counts
 from semblance.session import materialised
 
-TAIL = 1e-6
+TAIL = 1e-6  # the score of a numeric column's smallest and largest value
 PROBS = [0.0, 0.001, 0.005, *[i / 100 for i in range(1, 100)], 0.995, 0.999, 1.0]
 ACCURACY = 20_000
-LITERAL_LEVELS = 2_048
-SLOTS = 8_192
-INTERVAL_KNOTS = 256
+ROWS_TO_SEND = 100_000  # categories of a column are broadcast up to this counted number, joined by shuffle beyond
 
 
 def _z(p: float) -> float:
@@ -41,10 +37,31 @@ def _z(p: float) -> float:
 
 Z_KNOTS = [_z(p) for p in PROBS]
 
+# Acklam's rational approximation of the normal quantile (relative error below 1.2e-9), highest power first.
+CENTRE_TOP = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+CENTRE_BOTTOM = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+TAIL_TOP = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+TAIL_BOTTOM = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+TAIL_FROM = 0.02425
 
-@F.pandas_udf(T.DoubleType())
-def normal_score(p: pd.Series) -> pd.Series:
-    return p.map(_z)
+
+def _polynomial(x: Column, powers: tuple[float, ...]) -> Column:
+    out = F.lit(powers[0])
+    for c in powers[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def normal_score(p: Column) -> Column:
+    """The standard normal quantile; minus and plus infinity at 0 and 1."""
+    q = p - F.lit(0.5)
+    tail = F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
+    outer = _polynomial(tail, TAIL_TOP) / _polynomial(tail, TAIL_BOTTOM)
+    inner = _polynomial(q * q, CENTRE_TOP) * q / _polynomial(q * q, CENTRE_BOTTOM)
+    return (
+        F.when(p <= 0, F.lit(float("-inf"))).when(p >= 1, F.lit(float("inf")))
+        .when(p < TAIL_FROM, outer).when(p > 1 - TAIL_FROM, -outer).otherwise(inner)
+    )
 
 
 @dataclass
@@ -155,9 +172,10 @@ def fit(df: DataFrame, schema: TableSchema) -> SynthModel:
     else:
         categories = frame.sparkSession.createDataFrame([], "column string, value string, lo double, hi double, z double")
     scores = interpolated(frame, {c: _score_map(m) for c, m in marginals.items()})
+    sizes = _sizes(categories)
     for c in discrete:
         d = categories.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("z").alias("__z"))
-        joined = scores.join(d, col(c) == F.col("__v"))
+        joined = scores.join(F.broadcast(d) if sizes.get(c, 0) <= ROWS_TO_SEND else d, col(c) == F.col("__v"))
         scores = joined.select(*[F.col("__z").alias(c) if n == c else col(n) for n in columns])
     r = nearest_correlation(correlations(covariances(scores, columns)))
     return SynthModel(schema, columns, marginals, categories, r, row["n"])
@@ -174,8 +192,8 @@ def _normal(k: int, seed: int) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * turn(u2 * F.lit(2 * np.pi))
 
 
-def _condition_scores(model: SynthModel, column: str, value) -> tuple[list[float], list[float]] | float:
-    """The condition column's score: a constant, or a map from a uniform draw into the category's interval."""
+def _condition_scores(model: SynthModel, column: str, value) -> tuple[float, float] | float:
+    """The condition column's score: a constant, or the category's interval of probabilities."""
     if column in model.numeric:
         xs, zs = _score_map(model.numeric[column])
         return float(np.interp(float(value), xs, zs))
@@ -184,10 +202,7 @@ def _condition_scores(model: SynthModel, column: str, value) -> tuple[list[float
     row = model.categories.where((F.col("column") == column) & (F.col("value") == str(value))).first()
     if row is None:
         raise ValueError(f"Column '{column}' has no category '{value}'.")
-    us = np.linspace(0.0, 1.0, INTERVAL_KNOTS)
-    # stay inside the interval: its upper end belongs to the next category
-    inner = row["lo"] + (row["hi"] - row["lo"]) * (0.0005 + 0.999 * us)
-    return [float(u) for u in us], [_z(float(p)) for p in inner]
+    return row["lo"], row["hi"]
 
 
 def generate(
@@ -208,10 +223,11 @@ def generate(
     if given and isinstance(given[2], float):
         draws[0] = F.lit(given[2]).alias("e0")
     elif given:
-        draws[0] = hash_uniform(seed, F.col("id"), F.lit("condition")).alias("e0")
+        lo, hi = given[2]
+        # The draw lies inside (0, 1), so the score is finite over the whole interval.
+        inside = hash_uniform(seed, F.col("id"), F.lit("condition")) + F.lit(2.0**-54)
+        draws[0] = normal_score(F.lit(lo) + F.lit(hi - lo) * inside).alias("e0")
     base = ids.select("id", *draws)
-    if given and not isinstance(given[2], float):
-        base = interpolated(base, {"e0": given[2]})
     mixed = []
     for i, c in enumerate(columns):
         terms = [F.col(f"e{j}") * F.lit(float(lower[i, j])) for j in range(i + 1) if abs(lower[i, j]) > 1e-12]
@@ -228,38 +244,33 @@ def generate(
     return out.select(*done)
 
 
+def _sizes(categories: DataFrame) -> dict[str, int]:
+    """Categories of each column; one row per column."""
+    return {r["column"]: r["count"] for r in categories.groupBy("column").count().collect()}
+
+
 def _categories_from_scores(df: DataFrame, model: SynthModel, columns: list[str]) -> DataFrame:
-    if not columns:
-        return df
-    sizes = {r["column"]: r["count"] for r in model.categories.groupBy("column").count().collect()}  # one row per column
-    small = [c for c in columns if sizes.get(c, 0) <= LITERAL_LEVELS]
-    rows = model.categories.where(F.col("column").isin(*small)).orderBy("column", "hi").collect() if small else []
-    labels: dict[str, list[str]] = {c: [] for c in small}
-    cuts: dict[str, list[float]] = {c: [] for c in small}
-    for r in rows:
-        labels[r["column"]].append(r["value"])
-        cuts[r["column"]].append(NormalDist().inv_cdf(r["hi"]) if 0 < r["hi"] < 1 else float("inf"))
-    searched = [c for c in small if len(labels[c]) > 1]
-    out = _segments(df, {c: cuts[c][:-1] for c in searched})
-    pick = lambda c: (
-        F.element_at(F.array(*map(F.lit, labels[c])), col(f"__seg_{c}") + 1) if c in searched else F.lit(labels[c][0])
-    )
-    out = out.select(*[(pick(c) if c in small else col(c)).alias(c) for c in df.columns])
+    """Each score becomes the category whose score interval holds it, whatever the number of categories.
+
+    Draws and categories meet in slots of about equal probability, as many as the column has categories, so a draw
+    meets two categories on average.  A slot only brings the two sides together; the interval decides, in the
+    same scores on both sides.
+    """
+    sizes, out = _sizes(model.categories), df
     for c in columns:
-        if c not in small:
-            out = _category_by_slot(out, model, c)
+        n = sizes[c]
+        # Close to the normal distribution function, and rising: all that slots need.
+        slot = lambda z: F.floor(F.lit(float(n)) / (F.lit(1.0) + F.exp(F.lit(-1.702) * z))).cast("long")
+        cats = model.categories.where(F.col("column") == c).select(
+            F.col("value").alias("__value"), normal_score(F.col("lo")).alias("__from"), normal_score(F.col("hi")).alias("__to")
+        )
+        # In two steps, so that a category over nearly all slots makes no array of that length.
+        first, last = slot(F.col("__from")), slot(F.col("__to"))
+        cats = cats.select("*", F.explode(F.sequence(F.shiftright(first, 12), F.shiftright(last, 12))).alias("__block"))
+        low, high = F.shiftleft("__block", 12), F.shiftleft("__block", 12) + F.lit(4_095)
+        cats = cats.select("*", F.explode(F.sequence(F.greatest(first, low), F.least(last, high))).alias("__slot")).drop("__block")
+        if n <= ROWS_TO_SEND:
+            cats = F.broadcast(cats)
+        met = out.withColumn("__slot", slot(col(c))).join(cats, "__slot").where((col(c) >= F.col("__from")) & (col(c) < F.col("__to")))
+        out = met.select(*[F.col("__value").alias(x) if x == c else col(x) for x in df.columns])
     return out
-
-
-def _category_by_slot(df: DataFrame, model: SynthModel, column: str) -> DataFrame:
-    """Many categories: cut the probability range into slots and join draws to the categories of their slot."""
-    zs = [_z((i + 0.5) / 1_024) for i in range(1_024)]
-    us = [(i + 0.5) / 1_024 for i in range(1_024)]
-    share = interpolated(df.withColumn("__u", col(column)), {"__u": (zs, us)})
-    share = share.withColumn("__slot", F.floor(F.col("__u") * SLOTS))
-    cats = model.categories.where(F.col("column") == column).select(
-        F.col("value").alias("__value"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"),
-        F.explode(F.sequence(F.floor(F.col("lo") * SLOTS), F.floor(F.col("hi") * SLOTS))).alias("__slot"),
-    )
-    joined = share.join(cats, "__slot").where("__u >= __lo AND __u < __hi")
-    return joined.select(*[F.col("__value").alias(c) if c == column else col(c) for c in df.columns])

@@ -1,3 +1,5 @@
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,9 +128,28 @@ def test_synthesiser(spark, rows, monkeypatch):
     share = lambda df, n: {r["c"]: r["count"] / n for r in df.groupBy(F.coalesce("c", F.lit("__missing__")).alias("c")).count().collect()}
     real, syn = share(rows, 3000), share(a, 4000)
     assert real.keys() == syn.keys() and all(abs(real[c] - syn[c]) < 0.03 for c in real)
-    monkeypatch.setattr(Y, "LITERAL_LEVELS", 1)  # the path for columns with very many categories
+    monkeypatch.setattr(Y, "ROWS_TO_SEND", -1)  # joins by shuffle instead of broadcast
     joined = Y.generate(spark, model, 4000, seed=1)
-    assert joined.count() == 4000 and joined.exceptAll(a).count() < 20
+    assert joined.count() == 4000 and joined.exceptAll(a).count() == 0
+
+
+def test_normal_score(spark):
+    ps = [1e-300, 1e-12, 1e-6, 0.001, 0.02425, 0.3, 0.5, 0.7, 0.97575, 0.999, 1 - 1e-9]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(Y.normal_score(F.col("p"))).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=2e-9, abs=2e-9)
+    ends = spark.createDataFrame([(0.0,), (1.0,)], "p double").select(Y.normal_score(F.col("p"))).collect()
+    assert [r[0] for r in ends] == [float("-inf"), float("inf")]
+
+
+@pytest.mark.parametrize("hot", [0, 200_000])
+def test_every_category_is_drawn(spark, hot):
+    """Thousands of categories of equal share, with and without one that holds nearly all rows."""
+    df = spark.range(3000 + hot).select(F.concat(F.lit("c"), F.least("id", F.lit(3000)).cast("string")).alias("c"), F.lit("y").alias("y"))
+    drawn = Y.generate(spark, Y.fit(df, TableSchema((), ("c",), (), "y")), 100 * (3000 + hot) // (1 + hot // 20_000)).groupBy("c").count()
+    n = {r["c"]: r["count"] for r in drawn.collect()}
+    ends = [n[f"c{i}"] for i in range(3000)]
+    assert len(n) == 3000 + (hot > 0) and min(ends) > 0 and max(ends) < 100 + 8 * 10
+    assert sum(ends) == pytest.approx(300_000 / (1 + hot // 20_000), rel=0.02)
 
 
 def test_conditional_generation(spark, rows):
