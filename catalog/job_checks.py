@@ -25,6 +25,14 @@ def scan(t: Tables):
     return rounded(scan_csv(t.spark, path), total=2)
 
 
+@check("scan_text_csv", "SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
+def scan_text(t: Tables):
+    """Texts with line breaks, quotes and commas, as CSV and back."""
+    path = t.scratch()
+    t("documents").write.option("header", True).option("escape", '"').csv(path)
+    return scan_csv(t.spark, path).select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars")
+
+
 @check("sink_roundtrip", "SELECT id, cust, round(total, 2) AS total, priority, status, (SELECT count(*) FROM order_rows) AS n_rows FROM order_rows", ("order_rows",))
 def sink_roundtrip(t: Tables):
     store, df = DatasetStore(t.spark, t.scratch()), t("order_rows")

@@ -15,15 +15,17 @@ NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-INTEGER_TEXT = r"^[+-]?[0-9]{1,18}$"
+INTEGER_TEXT = r"^[+-]?[0-9]+$"
 BOOLEAN_TEXTS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 INFINITE_TEXT = r"(?i)^[+-]?inf(inity)?$"
 NO_CSV = "File must be CSV format"
 EMPTY_CSV = "Uploaded CSV is empty."
 CORRUPT_CSV = "Uploaded CSV is corrupted or could not be parsed."
 NO_ROWS = "CSV must contain at least one row and one column."
+OTHER_HEADER = "CSV files under one path need the same header in the same order."
 
 CORRUPT = "__corrupt"
+CSV_FILES = "*.[cC][sS][vV]"
 
 
 def _inferred(text: Column, found, i: int) -> Column:
@@ -35,21 +37,41 @@ def _inferred(text: Column, found, i: int) -> Column:
         return F.lower(trimmed).try_cast("boolean")
     if found[f"l{i}"] == found[f"n{i}"]:
         return trimmed.try_cast("bigint")
+    if found[f"w{i}"]:
+        # Integers beyond 64 bits keep their digits.
+        return text
     if found[f"d{i}"] == found[f"n{i}"]:
         return finite(trimmed.try_cast("double"))
     return text
 
 
+def _fields(record: Column, quote: str) -> Column:
+    """How many fields a record's text has; commas between quotes do not part fields."""
+    q = "\\" + quote
+    bare = F.regexp_replace(record, f"{q}[^{q}]*{q}", "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def _open_quotes(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether any line has an odd number of quotes, so that a field goes on in the next line."""
+    lines = spark.read.option("pathGlobFilter", CSV_FILES).text(path)
+    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))) % 2 == 1
+    return not lines.where(odd).isEmpty()
+
+
 def scan_csv(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     """Read CSV files with a header row.
 
-    Rows with too many fields are an error; short rows are filled with nulls.
-    Tokens for missing values are compared before trimming, on the whole field.
+    Rows with too many fields are an error, as are files whose header differs from the first one's; short rows are
+    filled with nulls.  Tokens for missing values are compared before trimming, on the whole field.  Files with line
+    breaks inside quotes are read one file a task, as only the quotes before a line tell what it belongs to; all
+    others are split.  Only files that end in .csv, in either case, are read.
     """
-    reader = spark.read.option("header", True).option("quote", quote).option("escape", quote).option("multiLine", False)
-    reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    reader = reader.option("pathGlobFilter", "*.csv").option("nullValue", "").option("emptyValue", "")
     try:
+        several = _open_quotes(spark, path, quote)
+        reader = spark.read.option("header", True).option("quote", quote).option("escape", quote).option("multiLine", several)
+        reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        reader = reader.option("pathGlobFilter", CSV_FILES).option("nullValue", "").option("emptyValue", "")
         header = reader.csv(path)
     except AnalysisException as e:
         raise TableError(f"{NO_CSV}: no readable .csv under '{path}'.") from e
@@ -57,18 +79,26 @@ def scan_csv(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     if not names:
         raise TableError(EMPTY_CSV)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
-    raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", False)
+    raw = reader.schema(schema).csv(path)
     value = {n: F.when(~col(n).isin(*NA_TOKENS), col(n)) for n in names}
     is_number = lambda v: F.trim(v).rlike(NUMBER_TEXT) | F.trim(v).rlike(INFINITE_TEXT)
-    found = raw.agg(
+    facts = [
         F.count(F.lit(1)).alias("rows"),
-        # a short row is flagged as well, but leaves the last column empty
-        F.count(F.when(col(CORRUPT).isNotNull() & col(names[-1]).isNotNull(), 1)).alias("flagged"),
+        # short rows are flagged as well
+        F.count(F.when(_fields(col(CORRUPT), quote) > len(names), 1)).alias("flagged"),
         *[F.count(value[n]).alias(f"n{i}") for i, n in enumerate(names)],
         *[F.count(F.when(F.trim(value[n]).isin(*BOOLEAN_TEXTS), 1)).alias(f"b{i}") for i, n in enumerate(names)],
-        *[F.count(F.when(F.trim(value[n]).rlike(INTEGER_TEXT), 1)).alias(f"l{i}") for i, n in enumerate(names)],
+        *[F.count(F.when(F.trim(value[n]).rlike(INTEGER_TEXT), F.trim(value[n]).try_cast("bigint"))).alias(f"l{i}") for i, n in enumerate(names)],
+        *[F.count(F.when(F.trim(value[n]).rlike(INTEGER_TEXT) & F.trim(value[n]).try_cast("bigint").isNull(), 1)).alias(f"w{i}") for i, n in enumerate(names)],
         *[F.count(F.when(is_number(value[n]), 1)).alias(f"d{i}") for i, n in enumerate(names)],
-    ).first()
+    ]
+    try:
+        found = raw.agg(*facts).first()
+    except Exception as e:  # the header check of each file runs with the scan
+        if "header" in str(e).lower():
+            raise TableError(f"{OTHER_HEADER} {str(e).splitlines()[0]}") from e
+        raise
     if found["flagged"]:
         raise TableError(CORRUPT_CSV)
     if not found["rows"]:
