@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ORDER_SCHEMA, Tables, check, one_row, r, rounded
+from catalog.base import ORDER_SCHEMA, Tables, check, rounded
+from catalog.prepare_checks import inside, kept_inside
 from semblance.operators import synth as Y
 from semblance.operators.profile import profile
 from semblance.plans import jobs as J
@@ -41,7 +42,7 @@ def sink_roundtrip(t: Tables):
     return rounded(back.withColumn("n_rows", F.lit(record["n_rows"]).cast("bigint")), total=2)
 
 
-@check("model_roundtrip")
+@check("model_roundtrip", "SELECT 0 AS differences")
 def model_roundtrip(t: Tables):
     """A stored and reloaded model draws the same rows."""
     df, path = t("order_rows"), t.scratch()
@@ -66,11 +67,12 @@ def ingest_job(t: Tables):
     return t.spark.createDataFrame(rows, "label string, n bigint, n_rows bigint, n_features int")
 
 
-@check("generation_job")
+@check("generation_job", inside("cust", "priority", "status"), ("order_rows",))
 def generation_job(t: Tables):
+    """Ingest, train, generate and read back: as many rows as there were, all inside the real ones; the profile skips ``total`` as a key."""
     root = t.scratch()
     datasets, models = DatasetStore(t.spark, f"{root}/datasets"), ModelStore(t.spark, f"{root}/models")
     record = J.ingest_table(datasets, t("order_rows"), "orders", "status", "u1")
     J.train(datasets, models, record["id"])
     result = J.generate_dataset(datasets, models, record["id"], record["n_rows"])
-    return datasets.get(result["synthetic_id"])[1]
+    return kept_inside(t, datasets.get(result["synthetic_id"])[1], {})

@@ -140,29 +140,15 @@ def training_frame(df: DataFrame, schema: TableSchema) -> DataFrame:
 # -- indicators -------------------------------------------------------------
 
 
-def levels(df: DataFrame, column: str, limit: int) -> list[str] | None:
-    """The column's category tokens in order, or None when there are more than ``limit``."""
-    token = present_or_missing(label(col(column), df.schema[column].dataType))
-    found = df.select(token.alias("v")).groupBy("v").count().limit(limit + 1).collect()
-    return sorted(r["v"] for r in found) if len(found) <= limit else None
+def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The set indicators in long form: the other columns, ``column`` and ``token``, one row per row and column.
 
-
-def one_hot(df: DataFrame, columns: list[str], limit: int = 256, buckets: int = 1_024) -> DataFrame:
-    """0/1 columns ``<column>_<token>`` per category, the missing token included.
-
-    A column with more than ``limit`` categories would not fit in a row; each of
-    its rows sets one of ``buckets`` hashed indicators instead.
+    The missing token is a category like any other.  The schema does not depend on the data, and a column may have any
+    number of categories; a pivot over ``token`` gives 0/1 columns where there are few.
     """
-    out = [col(c) for c in df.columns if c not in columns]
-    for c in columns:
-        token = present_or_missing(label(col(c), df.schema[c].dataType))
-        found = levels(df, c, limit)
-        if found is None:
-            place = F.pmod(F.xxhash64(token), F.lit(buckets))
-            out += [(place == b).cast("int").alias(f"{c}_{b}") for b in range(buckets)]
-        else:
-            out += [(token == v).cast("int").alias(f"{c}_{v}") for v in found]
-    return df.select(*out)
+    set_ones = [F.struct(F.lit(c).alias("column"), present_or_missing(label(col(c), df.schema[c].dataType)).alias("token")) for c in columns]
+    kept = [col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(*set_ones)).alias("__one")).select(*map(col, [c for c in df.columns if c not in columns]), "__one.column", "__one.token")
 
 
 # -- splits and weights -----------------------------------------------------

@@ -24,12 +24,15 @@ def register(
     dataset_type: str = "real", extra: dict | None = None,
 ) -> dict:
     """Profile a table and store it with its class counts and imbalance."""
-    imbalance = class_imbalance(df, target).first()
+    dataset_id = str(uuid4())
+    # Written first: a scan or a generator runs once, and the profile's passes read the stored columns.
+    path, stored = store.write(dataset_id, df, dataset_type)
+    imbalance = class_imbalance(stored, target).first()
     metadata = {
         "filename": filename, "target": target, "dataset_type": dataset_type,
         "class_imbalance": imbalance.asDict() if imbalance else None, **({"user_id": user_id} if user_id else {}), **(extra or {}),
     }
-    return store.save(str(uuid4()), df, profile(df, target), metadata)
+    return store.register(dataset_id, path, stored, profile(stored, target), metadata)
 
 
 def ingest_csv(spark: SparkSession, store: DatasetStore, path: str, target: str, user_id: str | None = None) -> dict:

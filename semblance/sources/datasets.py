@@ -18,6 +18,8 @@ REGISTRY_SCHEMA = (
     "created_at timestamp, version bigint"
 )
 
+MAX_CLASSES = 1_000  # classes of a stored label column; validated ones have far fewer
+
 
 class DatasetStore:
     """Datasets under one folder: ``data/dataset_type=…/id=…`` and ``registry``."""
@@ -34,16 +36,26 @@ class DatasetStore:
     def registry(self) -> DataFrame:
         return upserted(self._log(), ["id"], "version")
 
-    def save(self, dataset_id: str, df: DataFrame, profile: DataFrame, metadata: dict) -> dict:
-        """Write the rows, then register them; counts come from the profile where it has them."""
-        kind, target = metadata.get("dataset_type", "real"), metadata.get("target")
+    def write(self, dataset_id: str, df: DataFrame, kind: str = "real") -> tuple[str, DataFrame]:
+        """Write the rows and read them back, so that whatever follows starts from the stored table."""
         path = f"{self.root}/data/dataset_type={kind}/id={dataset_id}"
         df.write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path)
+        return path, self.spark.read.parquet(path)
+
+    def save(self, dataset_id: str, df: DataFrame, profile: DataFrame, metadata: dict) -> dict:
+        """Write the rows, then register them."""
+        path, stored = self.write(dataset_id, df, metadata.get("dataset_type", "real"))
+        return self.register(dataset_id, path, stored, profile, metadata)
+
+    def register(self, dataset_id: str, path: str, stored: DataFrame, profile: DataFrame, metadata: dict) -> dict:
+        """Register written rows; the label column must be a validated one, of few classes."""
+        kind, target = metadata.get("dataset_type", "real"), metadata.get("target")
         rows = profile.collect()  # one row per column
         features = [r["column"] for r in rows if r["role"] == "feature"]
-        # a validated label column has at most twenty classes
-        classes = {r["label"]: r["count"] for r in class_distribution(stored, target).collect()} if target else {}
+        found = class_distribution(stored, target).limit(MAX_CLASSES + 1).collect() if target else []
+        if len(found) > MAX_CLASSES:
+            raise ValueError(f"Target '{target}' has more than {MAX_CLASSES} classes.")
+        classes = {r["label"]: r["count"] for r in found}
         columns = sanitized(profile).select(F.to_json(F.struct("*")).alias("j")).collect()
         schema = json.dumps({"columns": [json.loads(r["j"]) for r in columns], "target": {"name": target} if target else None})
         record = {
@@ -73,3 +85,8 @@ class DatasetStore:
         if record is None:
             return None
         return record, normalized(self.spark.read.parquet(record["object_key"]))
+
+    def listed(self, user_id: str | None = None) -> DataFrame:
+        """Current records, newest first, those of one user where one is given."""
+        current = self.registry() if user_id is None else self.registry().where(F.col("user_id") == user_id)
+        return current.orderBy(F.desc("created_at"), "id")

@@ -53,11 +53,25 @@ def test_split_shares_and_reproducibility(rows):
         assert r["t"] == int(r["n"] * 0.2 + 0.5)
 
 
-def test_one_hot_beyond_the_limit(rows):
+def test_one_hot_of_any_number_of_levels(spark, rows):
     few = P.one_hot(rows.select("id", "c"), ["c"])
-    assert "c___missing__" in few.columns and few.where("c_hot + c_c0 + c_c1 + c_c2 + c_c3 + c___missing__ != 1").count() == 0
-    many = P.one_hot(rows.select("id", "c"), ["c"], limit=2, buckets=8)
-    assert len(many.columns) == 9 and many.where(" + ".join(f"c_{b}" for b in range(8)) + " != 1").count() == 0
+    assert few.columns == ["id", "column", "token"] and few.count() == 3000
+    assert {r["token"] for r in few.select("token").distinct().collect()} == {"hot", "c0", "c1", "c2", "c3", "__missing__"}
+    many = P.one_hot(rows.selectExpr("id", "cast(id AS string) AS c", "c AS d"), ["c", "d"])
+    assert many.columns == few.columns and many.schema == few.schema and many.where("column = 'c' AND token != cast(id AS string)").count() == 0
+    assert many.groupBy("column").count().collect()[0]["count"] == 3000
+
+
+def test_membership_does_not_depend_on_partitions(spark, rows):
+    real, syn = rows.drop("id").where("k % 2 = 0"), rows.drop("id").where("k % 2 = 1")
+    a = [L.membership_auc(real.repartition(n), syn.repartition(n), trees=5, depth=4) for n in (1, 7)]
+    assert a[0] == pytest.approx(a[1], abs=1e-12)
+
+
+def test_row_keys_follow_from_content(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "a"), (1, "a")], "x int, y string")
+    keys = [sorted(r["__row"] for r in L.with_row_key(df.repartition(n)).collect()) for n in (1, 4)]
+    assert keys[0] == keys[1] and len(set(keys[0])) == 5
 
 
 def test_conditional_sample_frequencies(rows):
