@@ -55,7 +55,7 @@ VIEWS = {
     "reg_models": """
         SELECT concat('m', o_orderkey) AS id, o_custkey AS dataset_id,
                CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('j', o_orderkey) ELSE concat('j', o_orderkey+1) END AS training_job_id,
-               o_orderdate AS created_at FROM orders WHERE o_orderstatus='F'""",
+               o_orderdate AS created_at FROM orders""",
     "reg_generations": """
         SELECT concat('g', o_orderkey) AS job_id, concat('m', o_orderkey) AS model_id, o_custkey AS dataset_id,
                CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey + 1 END AS synthetic_id,

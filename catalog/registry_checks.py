@@ -55,9 +55,13 @@ def latest_per_key(t: Tables):
 # -- listings and reports ------------------------------------------------------
 
 
-@check("list_newest", "SELECT id, dataset_id, created_at FROM reg_models", ("reg_models",))
+@check(
+    "list_newest",
+    "SELECT id, dataset_id, created_at, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, id) AS position FROM reg_models",
+    ("reg_models",),
+)
 def list_newest(t: Tables):
-    return G.newest_first(t("reg_models"), "dataset_id", "created_at", "id").select("id", "dataset_id", "created_at")
+    return G.newest_first(t("reg_models"), "dataset_id", "created_at", "id").select("id", "dataset_id", "created_at", "position")
 
 
 @check("preview_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
@@ -147,7 +151,7 @@ def job_lookup(t: Tables):
 
 @check(
     "resolve_model",
-    """WITH q AS (SELECT o_orderkey AS request, o_custkey + (o_orderkey % 2) AS dataset_id, CASE WHEN o_orderkey % 3 > 0 THEN concat('m', o_orderkey) END AS model_id FROM orders),
+    """WITH q AS (SELECT o_orderkey AS request, o_custkey + (o_orderkey % 2) AS dataset_id, CASE o_orderkey % 3 WHEN 1 THEN concat('m', o_orderkey) WHEN 2 THEN concat(CASE o_orderstatus WHEN 'F' THEN 'm' ELSE 'gone' END, o_orderkey) END AS model_id FROM orders),
        n AS (SELECT dataset_id, id FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, id) AS k FROM reg_models) WHERE k = 1),
        s AS (SELECT q.*, CASE WHEN q.model_id IS NOT NULL AND m.id IS NULL THEN 'not_found' WHEN q.model_id IS NOT NULL AND m.dataset_id <> q.dataset_id THEN 'wrong_dataset'
          WHEN q.model_id IS NULL AND n.id IS NULL THEN 'not_found' ELSE 'ok' END AS status, coalesce(q.model_id, n.id) AS pick
@@ -157,7 +161,7 @@ def job_lookup(t: Tables):
 )
 def resolve_model(t: Tables):
     asked = t("orders").selectExpr(
-        "o_orderkey AS request", "o_custkey + (o_orderkey % 2) AS dataset_id", "CASE WHEN o_orderkey % 3 > 0 THEN concat('m', o_orderkey) END AS model_id"
+        "o_orderkey AS request", "o_custkey + (o_orderkey % 2) AS dataset_id", "CASE o_orderkey % 3 WHEN 1 THEN concat('m', o_orderkey) WHEN 2 THEN concat(CASE o_orderstatus WHEN 'F' THEN 'm' ELSE 'gone' END, o_orderkey) END AS model_id"
     )
     return G.resolve_models(asked, t("reg_models"))
 

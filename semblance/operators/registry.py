@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions.scalars import col, json_number, owner
+from semblance.operators.order import numbered
 
 HISTORY = "array<struct<epoch:int,generator_loss:double,discriminator_loss:double>>"
 
@@ -45,8 +46,12 @@ def owned_by(df: DataFrame, user: str | int) -> DataFrame:
 
 
 def newest_first(df: DataFrame, user_column: str, created: str, key: str) -> DataFrame:
-    """Every user's rows in listing order, newest first."""
-    return df.orderBy(user_column, F.desc(created), key)
+    """Every user's rows with their ``position`` in the listing, newest first.
+
+    Positions are counted by month, so a user with very many rows is spread over tasks.
+    """
+    month = F.lit(0) - (F.year(created) * 12 + F.month(created))
+    return numbered(df, [user_column], [F.desc(created), F.asc(key)], month, "position")
 
 
 # -- reports ----------------------------------------------------------------
