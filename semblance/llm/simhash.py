@@ -81,14 +81,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other; repeated rows link to each other; empty tables stay empty; other columns are not read.
     """
     rows = kept_rows(fingerprints(docs, id_col, text_col))
-    nodes = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = materialised(links(nodes.select("fp"), distance, segments))
     label = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    of = materialised(nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
-    # Written out, so that the joins read plain exchanges, which Spark splits where one key holds many rows.
-    least = materialised(of.groupBy("label").agg(F.min("first").alias("component_id")))
+    of = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    least = of.groupBy("label").agg(F.min("first").alias("component_id"))
     known = of.join(least, "label").join(degree, "fp", "left").select("fp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    # Written out, so that the last join reads plain exchanges, which Spark splits where one fingerprint has many rows.
     known = materialised(known)
     return rows.join(known, "fp").select("doc_id", "fp", "n_links", "component_id")
 
