@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semblance.functions.scalars import col, is_numeric, label, number, safe_ratio
 from semblance.operators.order import chunks_for, medians, running_totals, sampled_cuts
+from semblance.session import ship
 
 # Fixed values.
 COERCIBLE_SHARE = 0.8
@@ -80,6 +82,13 @@ class NumericPair:
     rows: int  # of both sides, for sizing
     gaps: list[str] | None = None  # columns with nulls on either side; None if not known
     _fill: dict[str, float] | None = None
+    _covariances: tuple[np.ndarray, np.ndarray] | None = None
+
+    def covariances(self) -> tuple[np.ndarray, np.ndarray]:
+        """Covariance matrices of both filled tables, computed once."""
+        if self._covariances is None:
+            self._covariances = tuple(covariances(t, self.columns) for t in self.filled())
+        return self._covariances
 
     @property
     def fill(self) -> dict[str, float]:
@@ -273,41 +282,54 @@ def _centred(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     return df.select(*[(col(c) - F.lit(found[f"m{i}"] or 0.0)).alias(f"x{i}") for i, c in enumerate(columns)]), found["n"]
 
 
-def pair_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
-    """(n, sx, sy, sxx, syy, sxy) of each pair over the rows where both are present.
+CELLS = ("n", "sx", "sxx", "sxy")
+
 
-    All pairs go through one small aggregate keyed by the pair, which combines
-    before the shuffle; the result is one row per pair.
+def _grams(centred: DataFrame, d: int) -> dict[str, np.ndarray]:
+    """d x d matrices over the rows where both columns are present: n, sums of the first, of its square, of the product.
+
+    Each task multiplies its batches and gives d x d partial sums, so no row is spread over the pairs.
     """
+    ship(centred.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros((d, d)) for k in CELLS}
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            there = there.astype(float)
+            total["n"] += there.T @ there
+            total["sx"] += x.T @ there
+            total["sxx"] += (x * x).T @ there
+            total["sxy"] += x.T @ x
+        at = np.arange(d * d, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[k].ravel()) for k in CELLS]], ["k", *CELLS])
+
+    parts = centred.mapInArrow(run, "k int, n double, sx double, sxx double, sxy double")
+    sums = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in CELLS]).collect()  # one row per cell
+    out = {k: np.zeros(d * d) for k in CELLS}
+    for r in sums:
+        for k in CELLS:
+            out[k][r["k"]] = r[k]
+    return {k: v.reshape(d, d) for k, v in out.items()}
+
+
+def pair_sums(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
+    """(n, sx, sy, sxx, syy, sxy) of each pair over the rows where both are present."""
     columns = sorted({c for p in pairs for c in p})
-    centred, _ = _centred(df, columns)
-    at = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), at[a].alias("x"), at[b].alias("y")) for k, (a, b) in enumerate(pairs)])
-    x, y = F.col("x"), F.col("y")
-    sums = centred.select(F.inline(rows)).where(x.isNotNull() & y.isNotNull()).groupBy("k").agg(
-        F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)
-    )
-    found = {r[0]: tuple(r)[1:] for r in sums.collect()}
-    return [found.get(k, (0, 0.0, 0.0, 0.0, 0.0, 0.0)) for k in range(len(pairs))]
+    g = _grams(_centred(df, columns)[0], len(columns))
+    at = [(columns.index(a), columns.index(b)) for a, b in pairs]
+    cells = [(g["n"][i, j], g["sx"][i, j], g["sx"][j, i], g["sxx"][i, j], g["sxx"][j, i], g["sxy"][i, j]) for i, j in at]
+    return [tuple(map(float, c)) for c in cells]
 
 
 def covariances(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Population covariance matrix of columns without nulls.
-
-    Products about the means are summed per pair; d x d doubles come to the
-    driver, d = columns.
-    """
-    out = np.zeros((len(columns), len(columns)))
+    """Population covariance matrix of columns without nulls, from products about the means."""
     if not columns:
-        return out
+        return np.zeros((0, 0))
     centred, n = _centred(df, columns)
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    products = F.array(*[F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs])
-    sums = centred.select(F.posexplode(products).alias("k", "xy")).groupBy("k").agg(F.sum("xy").alias("s"))
-    for r in sums.collect():
-        i, j = pairs[r["k"]]
-        out[i, j] = out[j, i] = r["s"] / n if n else 0.0
-    return out
+    return _grams(centred, len(columns))["sxy"] / max(n, 1)
 
 
 def correlations(cov: np.ndarray) -> np.ndarray:
@@ -319,7 +341,7 @@ def correlations(cov: np.ndarray) -> np.ndarray:
 
 def correlation_matrix(pair: NumericPair) -> DataFrame:
     """(column_a, column_b, r_real, r_synthetic) over the full matrix of the filled tables."""
-    a, b = (correlations(covariances(t, pair.columns)) for t in pair.filled())
+    a, b = map(correlations, pair.covariances())
     rows = [
         (x, y, float(a[i, j]), float(b[i, j])) for i, x in enumerate(pair.columns) for j, y in enumerate(pair.columns)
     ]
@@ -330,7 +352,7 @@ def correlation_difference(pair: NumericPair) -> dict[str, float]:
     """Largest difference over the full matrix; mean and population std over the upper triangle."""
     if len(pair.columns) < 2:
         return {"max_diff": 0.0, "mean_diff": 0.0, "std_diff": 0.0}
-    a, b = (correlations(covariances(t, pair.columns)) for t in pair.filled())
+    a, b = map(correlations, pair.covariances())
     diff = np.abs(a - b)
     upper = diff[np.triu_indices(len(pair.columns), 1)]
     return {"max_diff": float(diff.max()), "mean_diff": float(upper.mean()), "std_diff": float(upper.std())}
@@ -346,7 +368,7 @@ def pca_variance_retained(pair: NumericPair) -> float:
         return 0.0
     real, syn = pair.filled()
     rows = real.limit(len(pair.columns)).count()
-    cov_real, cov_syn = covariances(real, pair.columns), covariances(syn, pair.columns)
+    cov_real, cov_syn = pair.covariances()
     s = np.sqrt(np.diag(cov_real))
     s[s == 0] = 1.0
     cov_real, cov_syn = cov_real / np.outer(s, s), cov_syn / np.outer(s, s)
