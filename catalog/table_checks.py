@@ -351,17 +351,27 @@ def validate_target(t: Tables):
     "config_rules",
     """WITH c AS (SELECT o_orderkey AS id, CAST(o_custkey * 20 AS BIGINT) AS epochs, CAST(o_custkey AS BIGINT) AS batch_size,
          o_totalprice / 1000000 AS generator_lr, o_orderkey % 13 AS discriminator_steps,
-         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 300 END AS early_stopping_patience FROM orders)
+         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 300 END AS early_stopping_patience,
+         o_orderkey % 700 AS embedding_dim, o_orderkey % 7 AS n_generator, o_custkey % 8 AS n_discriminator, o_totalprice / 3000000 AS discriminator_lr,
+         (o_orderkey % 40) / 20e0 AS early_stopping_min_delta, o_custkey * 30 AS sdmetrics_n_samples FROM orders)
        SELECT id, 'epochs' AS rule FROM c WHERE NOT (epochs BETWEEN 1 AND 2000)
        UNION ALL SELECT id, 'batch_size' FROM c WHERE NOT (batch_size BETWEEN 32 AND 4096)
        UNION ALL SELECT id, 'generator_lr' FROM c WHERE NOT (generator_lr > 0 AND generator_lr <= 0.1)
        UNION ALL SELECT id, 'discriminator_steps' FROM c WHERE NOT (discriminator_steps BETWEEN 1 AND 10)
-       UNION ALL SELECT id, 'early_stopping_patience' FROM c WHERE NOT (early_stopping_patience BETWEEN 5 AND 200)""",
+       UNION ALL SELECT id, 'early_stopping_patience' FROM c WHERE NOT (early_stopping_patience BETWEEN 5 AND 200)
+       UNION ALL SELECT id, 'embedding_dim' FROM c WHERE NOT (embedding_dim BETWEEN 32 AND 512)
+       UNION ALL SELECT id, 'generator_dim' FROM c WHERE NOT (n_generator BETWEEN 1 AND 5)
+       UNION ALL SELECT id, 'discriminator_dim' FROM c WHERE NOT (n_discriminator BETWEEN 1 AND 5)
+       UNION ALL SELECT id, 'discriminator_lr' FROM c WHERE NOT (discriminator_lr > 0 AND discriminator_lr <= 0.1)
+       UNION ALL SELECT id, 'early_stopping_min_delta' FROM c WHERE NOT (early_stopping_min_delta > 0 AND early_stopping_min_delta <= 1)
+       UNION ALL SELECT id, 'sdmetrics_n_samples' FROM c WHERE NOT (sdmetrics_n_samples BETWEEN 100 AND 20000)""",
 )
 def config_rules(t: Tables):
     configs = t("orders").selectExpr(
         "o_orderkey AS id", "o_custkey * 20 AS epochs", "o_custkey AS batch_size", "o_totalprice / 1000000 AS generator_lr",
         "o_orderkey % 13 AS discriminator_steps", "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 300 END AS early_stopping_patience",
+        "o_orderkey % 700 AS embedding_dim", "array_repeat(64, cast(o_orderkey % 7 AS int)) AS generator_dim", "array_repeat(64, cast(o_custkey % 8 AS int)) AS discriminator_dim",
+        "o_totalprice / 3000000 AS discriminator_lr", "(o_orderkey % 40) / 20 AS early_stopping_min_delta", "o_custkey * 30 AS sdmetrics_n_samples",
     )
     return V.config_violations(configs, "id")
 

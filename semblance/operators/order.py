@@ -18,7 +18,7 @@ from semblance.functions.scalars import col
 from semblance.session import materialised
 
 ROWS_PER_CHUNK = 64_000
-MAX_CHUNKS = 4_096
+MAX_CHUNKS = 32_768
 SAMPLES_PER_CHUNK = 20
 # Tables up to this size are counted whole; beyond it quantiles are bracketed first.
 COUNTED_ROWS = 2_000_000
@@ -60,7 +60,7 @@ def numbered(
 
 
 def hash_numbered(
-    df: DataFrame, keys: Sequence[str], row_key: Column, seed: int = 42, chunk_bits: int = 10, name: str = "idx",
+    df: DataFrame, keys: Sequence[str], row_key: Column, seed: int = 42, chunk_bits: int = 16, name: str = "idx",
     total: str | None = None,
 ) -> DataFrame:
     """A seeded shuffle order per key: 1..n, reproducible on any partitioning.

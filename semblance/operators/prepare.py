@@ -155,7 +155,7 @@ def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def stratified_split(
-    df: DataFrame, target: str, row_key: str, test_share: float = 0.3, seed: int = 42, chunk_bits: int = 10
+    df: DataFrame, target: str, row_key: str, test_share: float = 0.3, seed: int = 42, chunk_bits: int = 16
 ) -> DataFrame:
     """Adds ``is_test``: in each class the rounded share of rows with the smallest seeded hash.
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from semblance.operators.registry import latest
 from semblance.operators.runs import progress
 
 RECORD_SCHEMA = "job_id string, epoch int, generator_loss double, discriminator_loss double, ts timestamp"
@@ -15,12 +17,19 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(RECORD_SCHEMA).parquet(path)
 
 
-def follow(records: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep each run's current state in the table ``name``; only changed runs are updated.
+def follow(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the state of the runs that changed, batch after batch, under ``path``.
 
-    The state is one row per run.  The folder must be shared by all executors.
+    A batch that is run again replaces its own files.  Both folders must be shared by all executors; nothing is kept on
+    the driver.
     """
-    return (
-        progress(records).writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", checkpoint).start()
-    )
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return progress(records).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """Each run's newest state."""
+    return latest(spark.read.parquet(path), ["job_id"], [F.desc("batch")]).drop("batch")

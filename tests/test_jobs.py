@@ -10,7 +10,7 @@ from semblance.plans import jobs as J
 from semblance.sources.csv import scan_csv
 from semblance.sources.datasets import DatasetStore
 from semblance.sources.models import ModelStore
-from semblance.streaming.progress import follow, read_records
+from semblance.streaming.progress import current, follow, read_records
 
 
 def write(folder, text, name="data.csv"):
@@ -116,11 +116,15 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     )
     folder = str(tmp_path / "records")
     rows.where("epoch <= 10").write.parquet(folder)
-    query = follow(read_records(spark, folder), "run_progress", str(tmp_path / "state"))
+    out = str(tmp_path / "progress")
+    query = follow(read_records(spark, folder), out, str(tmp_path / "state"))
     try:
         query.processAllAvailable()
-        rows.where("epoch > 10").write.mode("append").parquet(folder)
+        rows.where("epoch > 10 AND job_id != 'j0'").write.mode("append").parquet(folder)
         query.processAllAvailable()
-        assert spark.table("run_progress").exceptAll(H.progress(rows)).count() == 0 and spark.table("run_progress").count() == 3
+        now = current(spark, out)
+        assert now.count() == 3 and now.exceptAll(H.progress(rows.where("epoch <= 10 OR job_id != 'j0'"))).count() == 0
+        # only the changed runs are written again
+        assert spark.read.parquet(out).groupBy("job_id").count().where("count = 1").select("job_id").collect()[0][0] == "j0"
     finally:
         query.stop()
