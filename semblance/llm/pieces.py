@@ -25,6 +25,10 @@ from semblance.session import ship
 MARK = "▁"
 CACHE = 400_000  # distinct cuts a worker remembers
 ROWS = 512  # rows of an outgoing batch
+SHORT = 40  # characters up to which a list is the faster agenda
+NEVER = float("inf")  # the rank of a pair that is no piece
+
+_CUT = re.compile(f"\n[^{MARK}\n]*|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 _LOADED: dict[bytes, "Pieces"] = {}
 
@@ -36,14 +40,19 @@ class Cuts(dict):
         super().__init__()
         self.pieces, self.new = pieces, []
 
-    def __missing__(self, cut: str) -> bytes:
-        ids = self.pieces.merged(cut)
-        out = self[cut] = b"".join([i.to_bytes(4, "little") for i in ids])
-        self.pieces.plain[cut] = self.pieces.spelled(ids)
-        self.new.append(cut)
+    def __missing__(self, key: str) -> bytes:
+        ids = self.pieces.merged(unit(key))
+        out = self[key] = b"".join([i.to_bytes(4, "little") for i in ids])
+        self.pieces.plain[key] = self.pieces.spelled(ids)
+        self.new.append(key)
         return out
 
 
+def unit(key: str) -> str:
+    """A cut's text: keys go without the one mark in front of them, unless they begin with a line feed."""
+    return key if key[:1] == "\n" else MARK + key
+
+
 class Pieces:
     """The vocabulary of one model file and the cuts encoded so far."""
 
@@ -62,11 +71,43 @@ class Pieces:
         self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.text = {i: p.replace(MARK, " ") for i, p in plain}
         self.value = {i: v for v, i in self.byte.items()}
-        # No piece has a line feed or goes from another character to a mark.
-        self.cuts_of = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
         self.ids, self.plain = Cuts(self), {}
 
+    def cuts(self, text: str) -> list[str]:
+        """Keys of the text's cuts: no piece has a line feed, or goes from another character to a mark."""
+        if MARK not in text and "  " not in text and " \n" not in text and "\n " not in text and text[0] != " " != text[-1]:
+            return text.replace("\n", " \n").split(" ")
+        return [c if c[0] == "\n" else c[1:] for c in _CUT.findall(MARK + text.replace(" ", MARK))]
+
     def merged(self, cut: str) -> list[int]:
+        symbols = self._short(cut) if len(cut) <= SHORT else self._long(cut)
+        out, ids, byte = [], self.id, self.byte
+        for s in symbols:
+            if (i := ids.get(s)) is not None:
+                out.append(i)
+            else:
+                out += [byte[b] for b in s.encode()]
+        return out
+
+    def _short(self, cut: str) -> list[str]:
+        """The agenda as a list of the pairs' ranks in text order: its first smallest entry is the next pair."""
+        rank, symbols = self.rank.get, list(cut)
+        agenda = [rank(a + b, NEVER) for a, b in zip(cut, cut[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            piece = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(piece + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + piece, NEVER)
+        return symbols
+
+    def _long(self, cut: str) -> list[str]:
+        """The agenda as a heap of (rank, position, piece), so that long runs stay near linear."""
         n, rank = len(cut), self.rank
         symbols, after, before = list(cut), list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(rank[p], i, p) for i in range(n - 1) if (p := cut[i : i + 2]) in rank]
@@ -86,14 +127,7 @@ class Pieces:
             h = before[i]
             if h >= 0 and (p := symbols[h] + piece) in rank:
                 heappush(agenda, (rank[p], h, p))
-        out, ids, byte = [], self.id, self.byte
-        for s in symbols:
-            if s:
-                if (i := ids.get(s)) is not None:
-                    out.append(i)
-                else:
-                    out += [byte[b] for b in s.encode()]
-        return out
+        return [s for s in symbols if s]
 
     def spelled(self, ids: list[int]) -> str:
         """The text of one cut's ids; runs of byte pieces are UTF-8."""
@@ -112,7 +146,7 @@ class Pieces:
         """Ids between begin and end as little-endian bytes, and the text they decode to."""
         if not text:
             return self.begin.to_bytes(4, "little") + self.end.to_bytes(4, "little"), ""
-        cuts = self.cuts_of(MARK + text.replace(" ", MARK))
+        cuts = self.cuts(text)
         ids = b"".join(map(self.ids.__getitem__, cuts))
         decoded = "".join(map(self.plain.__getitem__, cuts))
         return self.begin.to_bytes(4, "little") + ids + self.end.to_bytes(4, "little"), decoded[1:]
@@ -122,7 +156,7 @@ class Pieces:
         new = self.ids.new
         if new:
             lead = len(self.library.encode("\n"))
-            theirs = self.library.encode(["\n" + c.replace(MARK, " ") for c in new], num_threads=1)
+            theirs = self.library.encode(["\n" + unit(c).replace(MARK, " ") for c in new], num_threads=1)
             for cut, ids in zip(new, theirs):
                 if b"".join([i.to_bytes(4, "little") for i in ids[lead:]]) != self.ids[cut]:
                     raise ValueError(f"the library encodes {cut!r} otherwise")
