@@ -6,8 +6,8 @@ from compare import compare, connect
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-# Minutes of boosting or whole jobs; exercised with smaller settings in the other tests.
-SLOW = {"gbt_real", "gbt_mixed", "mia_auc", "tstr_f1", "evaluate_pair", "generation_job", "model_roundtrip"}
+# Hundreds of boosting rounds; exercised with smaller settings in the other tests, and whole by compare.py.
+SLOW = {"gbt_real", "gbt_mixed", "evaluate_pair"}
 
 
 @pytest.fixture(scope="module")
