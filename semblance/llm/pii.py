@@ -112,11 +112,13 @@ def votes(span: Column, text: Column) -> dict[str, Column]:
     context = F.when(lead.rlike(rf"\b(?:{AGAINST})"), -1).when(cue, 1).otherwise(0)
     length = F.least(F.floor(F.length(value) / 6), F.lit(6)).cast("int")
     share = F.floor(4 * F.length(number) / F.length(value)).cast("int")
-    return {"kind": kind, "form": form, "listed": listed, "context": context, "length": length, "share": share}
+    # Kind, length and share of digits hang together, so they are one feature.
+    shape = F.concat_ws(":", kind, length.cast("string"), share.cast("string"))
+    return {"shape": shape, "form": form, "listed": listed, "context": context}
 
 
 LABELERS = ("form", "listed", "context")
-FEATURES = ("kind", "form", "listed", "context", "length", "share")
+FEATURES = ("shape", "form", "listed", "context")
 
 
 def voted(text: Column, hits: Column) -> Column:

@@ -66,6 +66,7 @@ def test_personal_patterns(spark, rows):
 
 def test_personal_data_beyond_the_patterns(spark):
     known = [(i, f"mail me: user{i}@mail.example.com or call +1 (415) 555-{1000 + i}") for i in range(60)]
+    known += [(200 + i, f"my ssn is {130 + i}-45-67{10 + i}") for i in range(20)]
     more = [
         (100, "my phone is (415) 555-2671"), (101, "ssn 123-45-6789"), (102, "order 000-00-0000 of serial 123-45-6780"), (103, "contact: jane [at] example [dot] com"),
         (104, "signed Dr. Miller"), (105, "version 415 555 2671"), (106, "plain"),
@@ -84,10 +85,10 @@ def test_expectation_maximisation_finds_the_unreliable_labeler():
     patterns = {}
     for _ in range(5000):
         y = 1 if rnd.random() < 0.4 else -1
-        votes = (y if rnd.random() < 0.95 else -y, y if rnd.random() < 0.85 else -y, rnd.choice((-1, 1)))
+        votes = tuple(y if rnd.random() < right else -y for right in (0.95, 0.85, 0.65))
         patterns[votes] = patterns.get(votes, 0) + 1
     prior, tables, post = pii.reliabilities(patterns)
-    assert abs(prior - 0.4) < 0.05 and tables[0][1, 1] > 0.9 and abs(tables[2][1, 1] - 0.5) < 0.05
+    assert abs(prior - 0.4) < 0.05 and tables[0][1, 1] > 0.9 and abs(tables[2][1, 1] - 0.65) < 0.05
     assert post[1, 1, -1] > 0.9 > 0.1 > post[-1, -1, 1]
 
 
