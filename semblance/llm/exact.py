@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semblance.llm.text import SPACE, body, hex_sha256, named
+from semblance.llm.text import SPACE, body, hex_sha256, named, upto
 from semblance.session import materialised
 
 BLOCK = 2_048  # code points of a block
@@ -28,6 +28,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + "+", "")
 
 
+def block_hash(block: Column) -> Column:
+    return F.xxhash64(block)
+
+
 def ranked(distinct: DataFrame, order: list[str], hashed: Column, rows: int) -> DataFrame:
     """``distinct`` with a column ``name``: the rows' places when sorted by (hash, order).
 
@@ -43,21 +47,21 @@ def ranked(distinct: DataFrame, order: list[str], hashed: Column, rows: int) ->
     )
 
 
-def block_names(blocks: DataFrame) -> DataFrame:
-    """The block rows with their name instead of their text."""
+def block_names(hashed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The block rows (ROW, at, hash) with their name instead of their hash; ``blocks`` has their text besides."""
     owners = materialised(blocks.select("hash", "block").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners")))
     several = owners.where("owners > 1").select("hash")
     clashes = several.count()
     if clashes == 0:
         names = ranked(owners.select("hash"), [], F.col("hash"), owners.count())
-        return blocks.drop("block").join(names, "hash").drop("hash")
+        return hashed.join(names, "hash").drop("hash")
     # Blocks that share a hash: within it the order is the text's.
     few = F.broadcast(several) if clashes <= NAMES else several
     shared = materialised(blocks.join(few, "hash", "left_semi"))
     told = shared.select("hash", "block").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("hash").orderBy("block")))
     keys = owners.where("owners = 1").select("hash", F.lit(1).alias("nth")).union(told.select("hash", "nth"))
     names = materialised(ranked(keys, ["nth"], F.col("hash"), keys.count()))
-    plain = blocks.drop("block").join(few, "hash", "left_anti").join(names, "hash").drop("hash", "nth")
+    plain = hashed.join(few, "hash", "left_anti").join(names, "hash").drop("hash", "nth")
     apart = shared.join(told, ["hash", "block"]).join(names, ["hash", "nth"]).drop("hash", "block", "nth")
     return plain.unionByName(apart.select(*plain.columns))
 
@@ -69,16 +73,15 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.length("t").cast("long").alias("n_chars"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit("row"), "t").alias("h2"),
         normalised(F.col("t")).alias("norm"),
     )
+    cut = F.transform(upto(F.ceil(F.length("norm") / block).cast("int") - 1), lambda i: F.substring("norm", i * block + 1, F.lit(block)))
+    # Hashes of the blocks stay with their row; only the blocks themselves travel.
     rows = materialised(
-        whole.select(*ROW, F.ceil(F.length("norm") / block).cast("int").alias("n_blocks"), hex_sha256(F.col("norm")).alias("text_sha256"))
-        .groupBy(*ROW, "n_blocks", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    )
-    cut = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.length("norm") / block).cast("int") - 1),
-        lambda i: F.struct(i.alias("at"), F.substring("norm", i * block + 1, F.lit(block)).alias("block")),
+        whole.select(*ROW, hex_sha256(F.col("norm")).alias("text_sha256"), F.transform(cut, block_hash).alias("hashes"))
+        .groupBy(*ROW, "text_sha256", "hashes").agg(F.count(F.lit(1)).alias("copies")).withColumn("n_blocks", F.size("hashes"))
     )
-    blocks = whole.where(F.length("norm") > 0).select(*ROW, F.explode(cut).alias("b")).select(*ROW, "b.at", "b.block")
-    level = materialised(block_names(blocks.withColumn("hash", F.xxhash64("block"))).distinct())
+    blocks = whole.select(*ROW, F.posexplode(cut).alias("at", "block")).withColumn("hash", block_hash(F.col("block")))
+    hashed = rows.select(*ROW, F.posexplode("hashes").alias("at", "hash"))
+    level = materialised(block_names(hashed, blocks).distinct())
     longest = rows.agg(F.max("n_blocks")).first()[0] or 0
     while longest > 1:
         # A last block without a neighbour pairs with zero, which is no name.
@@ -91,7 +94,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         names = ranked(distinct, ["left", "right"], F.xxhash64("left", "right"), distinct.count())
         level = materialised(pairs.join(names, ["left", "right"]).select(*ROW, "at", "name"))
         longest = (longest + 1) // 2
-    return rows, level.select(*ROW, "name")
+    return rows.drop("hashes"), level.select(*ROW, "name")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

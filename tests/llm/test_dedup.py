@@ -74,8 +74,7 @@ def test_exact(spark, rows):
 
 def test_exact_names_by_text_where_hashes_meet(spark, rows, monkeypatch):
     """With a hash of two values nearly every block shares its hash; the answer stays."""
-    real = F.xxhash64
-    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: real(*c) if len(c) > 1 or c == ("t",) else F.pmod(real(*c), F.lit(2)))
+    monkeypatch.setattr(exact, "block_hash", lambda b: F.pmod(F.xxhash64(b), F.lit(2)))
     got = {r.doc_id: r.keep_id for r in exact.exact_duplicates(frame(spark, rows), block=50).collect()}
     assert got == {rows[i][0]: v[0] for i, v in brute.exact(rows).items()}
 
