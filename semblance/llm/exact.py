@@ -114,7 +114,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         r.join(n, on, "left").select("r.*", F.coalesce("n.name", F.lit(0)).alias("name"))
     )
     key = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("h1").alias("d"), F.col("h2").alias("e"))
-    groups = named_rows.groupBy("n_blocks", "name").agg(F.sum("copies").alias("group_size"), F.min(key).alias("best"))
+    # Written out, so that the join reads plain exchanges, which Spark splits where one group holds many rows.
+    groups = materialised(named_rows.groupBy("n_blocks", "name").agg(F.sum("copies").alias("group_size"), F.min(key).alias("best")))
     best = F.col("best")
     first = best["c"].eqNullSafe(F.col("doc_id")) & (best["a"] == -F.col("n_chars")) & (best["d"] == F.col("h1")) & (best["e"] == F.col("h2"))
     out = named_rows.join(groups, ["n_blocks", "name"]).withColumn("first", first)
