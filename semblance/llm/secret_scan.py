@@ -25,9 +25,15 @@ KINDS = (*BASE, "markov")
 
 EDGE = r"\p{L}\p{N}+/_=-"
 TOKEN = rf"(?<![{EDGE}])[A-Za-z0-9+/_=-]{{20,}}+(?![{EDGE}])"  # what the models judge
-ORDINARY = rf"(?<![{EDGE}])[A-Za-z][A-Za-z_/+=-]{{11,}}+(?![{EDGE}])"  # identifiers to learn from: without digits
+# Identifiers to learn from: letters only, or words and short numbers joined by signs (utf8mb4_general, x86_64-linux, report-2024-05).
+LETTERS = r"[A-Za-z][A-Za-z_/+=-]{11,}+"
+PART = r"(?:[A-Za-z]++(?:[0-9]{1,2}[A-Za-z]{2,}+)?[0-9]{0,4}+|[0-9]{1,4}+)"
+NUMBERED = rf"(?=[A-Za-z][A-Za-z0-9_/+=-]{{11}})[A-Za-z]++(?:[0-9]{{1,2}}[A-Za-z]{{2,}}+)?[0-9]{{0,4}}+(?:[_/+=-]++{PART})++"
+ORDINARY = rf"(?<![{EDGE}])(?:{LETTERS}|{NUMBERED})(?![{EDGE}])"
 
 SYMBOLS = 96  # 0 is the start, then the printable ASCII characters
+# Shares of a row that follow the class's symbols whatever stands before, and of those that are spread evenly.  As shares they do not depend on the corpus size.
+BACK_OFF, EVEN = 0.3, 0.05
 MARGIN = 12.0  # nats by which a token must be likelier as a random string
 
 
@@ -42,28 +48,35 @@ def base_spans(text: Column) -> Column:
 
 
 def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Labelled samples (token, random) of a corpus: values that the patterns find, and long words without digits."""
+    """Labelled samples (token, random) of a corpus: values that the patterns find, and long identifiers outside these."""
     text = docs.select(body(text_col).alias("t"))
-    ordinary = F.transform(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0)), lambda w: F.struct(w.alias("token"), F.lit(False).alias("random")))
-    random = F.transform(base_spans(F.col("t")), lambda s: F.struct(s["value"].alias("token"), F.lit(True).alias("random")))
-    return text.select(F.explode(F.concat(random, ordinary)).alias("s")).select("s.token", "s.random")
+    found = text.select(base_spans(F.col("t")).alias("base"), spans.matches(F.col("t"), ORDINARY, "ordinary").alias("words"))
+    sample = lambda random: lambda s: F.struct(s["value"].alias("token"), F.lit(random).alias("random"))
+    both = F.concat(F.transform("base", sample(True)), F.transform(spans.outside(F.col("words"), F.col("base")), sample(False)))
+    return found.select(F.explode(both).alias("s")).select("s.token", "s.random")
 
 
 def train(labelled: DataFrame, token_col: str = "token", random_col: str = "random") -> list[float]:
     """Log-likelihood ratios by previous and next symbol, row by row; at most SYMBOLS**2 counts a class leave the cluster.
 
-    Add-one smoothing, so a class without samples is uniform.  Null and empty tokens and null labels teach nothing.
+    A row's smoothing is a share of its total, so a corpus and copies of it give one model; a class without samples is
+    uniform.  Null and empty tokens and null labels teach nothing.
     """
     known = labelled.select(named(token_col).cast("string").alias("token"), named(random_col).alias("random")).where("token != '' AND random IS NOT NULL")
     c = known.select("random", codes(F.col("token")).alias("c"))
     steps = c.select("random", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: a * SYMBOLS + b)).alias("step"))
-    n = {True: [1] * SYMBOLS**2, False: [1] * SYMBOLS**2}
+    n = {True: [0] * SYMBOLS**2, False: [0] * SYMBOLS**2}
     for r in steps.groupBy("random", "step").count().collect():
         n[r["random"]][r["step"]] += r["count"]
     rows = {k: [sum(v[i * SYMBOLS : (i + 1) * SYMBOLS]) for i in range(SYMBOLS)] for k, v in n.items()}
-    return [
-        math.log(n[True][i] / rows[True][i // SYMBOLS]) - math.log(n[False][i] / rows[False][i // SYMBOLS]) for i in range(SYMBOLS**2)
-    ]
+    columns = {k: [sum(v[i::SYMBOLS]) for i in range(SYMBOLS)] for k, v in n.items()}
+
+    def chance(k: bool, i: int) -> float:
+        row, every = rows[k][i // SYMBOLS], sum(rows[k])
+        any_row = (1 - EVEN) * (columns[k][i % SYMBOLS] / every) + EVEN / SYMBOLS if every else 1 / SYMBOLS
+        return (1 - BACK_OFF) * (n[k][i] / row) + BACK_OFF * any_row if row else any_row
+
+    return [math.log(chance(True, i)) - math.log(chance(False, i)) for i in range(SYMBOLS**2)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:

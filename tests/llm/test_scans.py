@@ -56,6 +56,31 @@ def test_samples_from_documents(spark):
     assert sorted(map(tuple, secret_scan.samples(docs).collect())) == [("abcdef123", True), ("ordinaryidentifier", False)]
 
 
+def test_numbered_identifiers_are_samples(spark):
+    texts = ["use x86_64-linux-gnu or utf8mb4_general_ci, report-2024-05-final", "password=abcd_1234_efgh secret: build_2024_05_run", "aB3xK9_mQ7zT1wL5 550e8400-e29b-41d4-a716-446655440000"]
+    got = sorted(r.token for r in secret_scan.samples(frame(spark, list(enumerate(texts)))).where("NOT random").collect())
+    assert got == ["report-2024-05-final", "utf8mb4_general_ci", "x86_64-linux-gnu"]
+
+
+def test_spans_do_not_depend_on_the_amount_of_text(spark):
+    """Models of a corpus and of its copy repeated 60 times judge alike: identifiers stay, random strings go."""
+    rnd = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "server client report table index linux version build cache value update general schema".split()
+    token = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    name = lambda: "_".join(f"{rnd.choice(words)}{rnd.randrange(1, 100)}" for _ in range(4))
+    plain = lambda: "_".join(rnd.choice(words) for _ in range(3))
+    known = [(i, f"password={token(24)} beside {plain()} and {name()} and {plain()}") for i in range(150)]
+    asked = [(1000 + i, f"see {name()} and x86_64-server-linux_2024_05_12 there") for i in range(40)] + [(2000 + i, f"see {token(40)} there") for i in range(40)]
+    docs = frame(spark, known + asked)
+    many = docs.crossJoin(spark.range(60).select()).repartition(4)
+    assert many.count() == 60 * docs.count()
+    once, often = ({r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(docs, secret_scan.train(secret_scan.samples(d)))).collect()} for d in (docs, many))
+    assert once == often
+    assert not any("markov" in once[1000 + i] for i in range(40))
+    assert sum("markov" in once[2000 + i] for i in range(40)) >= 38
+
+
 def test_personal_patterns(spark, rows):
     docs = frame(spark, rows)
     got = {r.doc_id: r for r in pii.digest(pii.scan(docs, pii.train(docs))).collect()}
