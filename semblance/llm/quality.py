@@ -5,8 +5,8 @@ of back-off n-grams that only say how often a word repeats the one before it.
 Each n-gram's indicator is scaled by its log-count ratio between the classes, and
 a linear hinge-loss model is fitted on the scaled vectors by dual coordinate
 descent.  The fit works on blocks of a bounded labelled sample, in parallel; the
-blocks' weights are averaged, and a logistic curve over margins from blocks that
-did not see the document turns margins into probabilities.
+blocks' weights are averaged, and a logistic curve over margins from ratios and
+weights of the blocks without the document turns margins into probabilities.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from semblance.session import materialised, ship
 
 SAMPLE = 16_384  # labelled documents that the fit uses at most, about; drawn by hash over all labelled documents
 BLOCK = 2_048  # labelled documents that one task fits
+LEAST_BLOCKS = 5  # also of small samples, so that the curve is fitted on unseen margins
 BITS = 18  # n-grams are hashed to 2**BITS features
+ALL = -1  # stands for all blocks where a block stands for the others
 EPOCHS, COST = 12, 1.0
 FOLDS, HELD_OUT = 5, 0
 ROWS = 512
@@ -83,7 +85,7 @@ def held_out(id_col: str) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """(block, y, text) of about ``sample`` labelled documents that are not held out, in blocks of about BLOCK.
+    """(block, y, text) of about ``sample`` labelled documents that are not held out, in LEAST_BLOCKS blocks or in more of about BLOCK.
 
     An id with several labels has their majority (1 on a tie); null ids and labels teach nothing.
     """
@@ -91,13 +93,20 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     known = labels.where(named(id_col).isNotNull() & named(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(named(id_col).alias("id")).agg(y.alias("y"))
     count = known.count()
     draw = F.pmod(F.xxhash64(F.lit("quality sample"), F.col("id")), F.lit(1_000_003)) / 1_000_003
-    blocks = max(1, round(min(count, sample) / BLOCK))
+    blocks = max(LEAST_BLOCKS, round(min(count, sample) / BLOCK))
     drawn = known.where(draw < min(1.0, sample / max(count, 1))).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.lit(blocks)).cast("int"))
     # The sample's size is bounded, so it is sent to the documents.
     text = docs.select(named(id_col).alias("id"), body(text_col).alias("text"))
     return text.join(F.broadcast(drawn), "id").select("block", "y", "text")
 
 
+def _ratio(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> np.ndarray:
+    """Log-count ratios of the features from their counts in the two classes and the classes' sizes."""
+    ratio = np.log((p + 1) / (n_p + 2)) - np.log((q + 1) / (n_q + 2))
+    ratio[0] = 1.0  # the constant feature is the bias
+    return ratio
+
+
 def _descended(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """Dual coordinate descent for the hinge loss on unit-length scaled rows; classes weigh the same."""
     values = [ratio[f] for f in rows]
@@ -135,33 +144,51 @@ def train(
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(size), np.zeros(size), 0.0, float(np.log((sizes.get(1, 0) + 1) / (sizes.get(-1, 0) + 1))))
-    # At most 2**BITS rows, whatever the number of documents.
-    counts = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum(F.expr("int(y > 0)")).alias("p"), F.sum(F.expr("int(y < 0)")).alias("q")).toPandas()
-    p, q = np.ones(size), np.ones(size)
-    p[counts["f"]] += counts["p"]
-    q[counts["f"]] += counts["q"]
-    ratio = np.log(p / (sizes[1] + 2)) - np.log(q / (sizes[-1] + 2))
-    ratio[0] = 1.0  # the constant feature is the bias
-    sent = spark.sparkContext.broadcast(ratio)
+    def tally(block: pd.DataFrame) -> pd.DataFrame:
+        y = block["y"].to_numpy()
+        n = [np.bincount(np.concatenate([np.empty(0, np.int64), *block["f"][y == c]]).astype(np.int64), minlength=size).astype(np.int32) for c in (1, -1)]
+        return pd.DataFrame({"block": [int(block["block"].iloc[0])], "p": [n[0].tobytes()], "q": [n[1].tobytes()], "n_p": [int((y > 0).sum())], "n_q": [int((y < 0).sum())]})
+
+    # A row for each block, whatever the number of documents.
+    tallied = rows.groupBy("block").applyInPandas(tally, "block int, p binary, q binary, n_p long, n_q long").collect()
+    counts = {r.block: (np.frombuffer(r.p, np.int32), np.frombuffer(r.q, np.int32), r.n_p, r.n_q) for r in tallied}
+    whole = tuple(sum(c[i] for c in counts.values()) for i in range(4))
+    # Ratios of all blocks, and for each block those of the others: a document's own label has no part in its margin.
+    ratios = {ALL: _ratio(*whole)} | {b: _ratio(*[x - y for x, y in zip(whole, c)]) for b, c in counts.items()}
+    sent = spark.sparkContext.broadcast(ratios)
 
     def fit(block: pd.DataFrame) -> pd.DataFrame:
-        w = _descended([np.asarray(f) for f in block["f"]], block["y"].to_numpy(), sent.value)
-        return pd.DataFrame({"block": [int(block["block"].iloc[0])], "w": [w]})
-
-    blocks = {r.block: np.array(r.w) for r in rows.groupBy("block").applyInPandas(fit, "block int, w array<double>").collect()}
-    total = sum(blocks.values())
-    others = {b: (total - w) / (len(blocks) - 1) if len(blocks) > 1 else w for b, w in blocks.items()}
-    unseen = spark.sparkContext.broadcast(others)
+        own, f, y = int(block["block"].iloc[0]), [np.asarray(f) for f in block["f"]], block["y"].to_numpy()
+        apart = [b for b in sent.value if b != own]
+        return pd.DataFrame({"apart": apart, "w": [_descended(f, y, sent.value[b]).tobytes() for b in apart]})
+
+    def added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for part in parts:
+            for b, w in zip(part["apart"], part["w"]):
+                sums[b] = sums.get(b, 0) + np.frombuffer(w)
+        for b, w in sums.items():
+            yield pd.DataFrame({"apart": [b], "w": [w.tobytes()]})
+
+    # Sums of each task's blocks, added up as they arrive.
+    weights = {b: np.zeros(size) for b in ratios}
+    fitted = rows.groupBy("block").applyInPandas(fit, "apart int, w binary").mapInPandas(added, "apart int, w binary")
+    for r in fitted.toLocalIterator():
+        weights[r.apart] += np.frombuffer(r.w) / max(len(counts) - (r.apart != ALL), 1)
+    # A lone block, of very few documents, has no others; its margins are zero and make every score the share of label 1.
+    unseen = spark.sparkContext.broadcast({b: weights[b] for b in counts})
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [Model(sent.value, unseen.value[b], 1.0, 0.0).margin(np.array(f)) for b, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            out = [Model(sent.value[b], unseen.value[b], 1.0, 0.0).margin(np.array(f)) for b, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.float64())], ["y", "m"])
 
     # One margin for each document of the bounded sample.
     seen = rows.mapInArrow(margins, "y int, m double").toPandas()
+    sent.destroy()
+    unseen.destroy()
     slope, offset = _curve(seen["m"].to_numpy(), seen["y"].to_numpy())
-    return Model(ratio, total / len(blocks), slope, offset)
+    return Model(ratios[ALL], weights[ALL], slope, offset)
 
 
 def _curve(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:

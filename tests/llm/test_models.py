@@ -80,6 +80,18 @@ def test_quality_on_held_out_documents(spark):
     assert sum(ranks) / len(ranks) >= 0.97
 
 
+def test_quality_curve_is_fitted_on_unseen_margins(spark):
+    """Labels without any relation to the text: scores of a small sample stay near the share of label 1."""
+    rnd = random.Random(8)
+    docs = frame(spark, [(i, " ".join(f"w{rnd.randrange(3_000)}" for _ in range(60))) for i in range(300)])
+    labels = spark.createDataFrame([(i, rnd.randrange(2)) for i in range(300)], "doc_id long, quality int")
+    assert quality.labelled(docs, labels, "doc_id", "text", "quality", quality.SAMPLE).select("block").distinct().count() >= 5
+    scores = [r.score for r in quality.score(docs, quality.train(docs, labels)).where(quality.held_out("doc_id")).collect()]
+    assert len(scores) > 30 and 0.25 < min(scores) and max(scores) < 0.75
+    few = quality.train(docs, labels.where("doc_id < 6"))
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, few).collect())
+
+
 def test_quality_of_odd_rows(spark):
     rnd = random.Random(1)
     good = [(i, " ".join(rnd.choice("clean words of some prose here".split()) for _ in range(40))) for i in range(100)]
