@@ -127,6 +127,11 @@ def counted(postings: DataFrame) -> DataFrame:
     return postings.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
+def shard_bits(common: DataFrame) -> int:
+    """Leading bits that leave about SHARD_KEYS common keys in a shard."""
+    return max(0, (common.count() // SHARD_KEYS).bit_length())
+
+
 def filters_of(common: DataFrame, bits: int) -> DataFrame:
     """A cuckoo filter for each shard of about SHARD_KEYS keys."""
     ship(common.sparkSession)
@@ -146,7 +151,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
 def _index(postings: DataFrame, min_docs: int, min_chars: int) -> LineIndex:
     counts = materialised(counted(postings))
     common = counts.where(F.col("n_docs") >= min_docs)
-    bits = max(0, (common.count() // SHARD_KEYS).bit_length())
+    bits = shard_bits(common)
     return LineIndex(postings, counts, materialised(filters_of(common, bits)), bits, min_docs, min_chars)
 
 
@@ -164,9 +169,15 @@ def delete(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineInde
 
 
 def _moved(index: LineIndex, postings: DataFrame) -> LineIndex:
-    """The index over changed postings: only shards with keys that cross the limit get a changed filter."""
+    """The index over changed postings: only shards with keys that cross the limit get a changed filter.
+
+    Where the common keys have outgrown the shards, all filters are made anew over more of them.
+    """
     ship(postings.sparkSession)
     counts = materialised(counted(postings))
+    met = counts.where(F.col("n_docs") >= index.min_docs)
+    if (bits := shard_bits(met)) > index.bits:
+        return LineIndex(postings, counts, materialised(filters_of(met, bits)), bits, index.min_docs, index.min_chars)
     common = lambda c: c.where(F.col("n_docs") >= index.min_docs).select(shard(index.bits).alias("shard"), "k1").distinct()
     before, after = common(index.counts), common(counts)
     step = after.exceptAll(before).withColumn("add", F.lit(True)).union(before.exceptAll(after).withColumn("add", F.lit(False)))

@@ -125,6 +125,20 @@ def test_lines_in_and_out(spark, rows, monkeypatch):
     assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, lines.build(half).counts.collect()))
 
 
+def test_shards_follow_an_index_that_grows(spark, monkeypatch):
+    """A large batch on a small index is dealt over as many shards as a fresh build of both has."""
+    monkeypatch.setattr(lines, "SHARD_KEYS", 2)
+    first = frame(spark, [(-1, "one line that is long enough to count")])
+    docs = frame(spark, [(d, "\n".join(f"a line number {i} that stands in all of them" for i in range(d % 3, 60))) for d in range(6)])
+    small = lines.build(first)
+    index, fresh = lines.insert(small, docs), lines.build(docs.union(first))
+    assert small.bits == 0 and index.bits == fresh.bits > 3
+    assert {r.shard for r in index.filters.collect()} == {r.shard for r in fresh.filters.collect()}
+    text = lambda at: {r.doc_id: r.text for r in lines.kept(docs, at).collect()}
+    assert text(index) == text(fresh)
+    assert lines.delete(index, docs.select("doc_id")).counts.collect() == small.counts.collect()
+
+
 def test_cuckoo_filter():
     import numpy as np
 
