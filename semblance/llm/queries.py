@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semblance.llm import decontaminate, exact, licenses, lines, pieces, pii, quality, secret_scan, simhash, substring
+from semblance.llm import codes, decontaminate, divergence, exact, language, licenses, lines, pieces, pii, quality, secret_scan, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,73 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, folder, "documents")))
+
+
+@query("op11_language")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.digest(language.identify(docs, language.train(language.learnable(docs))))
+
+
+def _op12() -> str:
+    """Four rounds and the last assignment, a pair of tables each."""
+    part = "list_slice(x, p * len(x) // 4 + 1, (p + 1) * len(x) // 4)"
+    steps = [f"""
+    WITH v AS MATERIALIZED (
+        SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    parts AS MATERIALIZED (SELECT vec_id, p, {part} AS x FROM v, range(4) t(p)),
+    c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 256)"""]
+    for k in range(5):
+        steps.append(f"""a{k} AS MATERIALIZED (
+        SELECT vec_id, p, x, min(struct_pack(d := d, e := e)) AS best FROM (
+            SELECT vec_id, parts.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts JOIN c{k} ON parts.p = c{k}.p)
+        GROUP BY vec_id, p, x)""")
+        if k < 4:
+            steps.append(f"""m{k} AS MATERIALIZED (
+        SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM (
+            SELECT p, best.e AS e, pos, sum(x[pos]) AS s, count(*) AS n FROM a{k}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS pos) GROUP BY ALL) GROUP BY p, e),
+    c{k + 1} AS MATERIALIZED (SELECT c{k}.p, c{k}.e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} ON c{k}.p = m{k}.p AND c{k}.e = m{k}.e)""")
+    steps.append("""r AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+    s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c4)""")
+    return ",\n    ".join(steps) + """
+    SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id), s"""
+
+
+OP12 = _op12()
+
+
+@query("op12_vector_codes", OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.digest(*codes.compress(table(spark, folder, "embeddings")))
+
+
+OP13 = """
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    t AS MATERIALIZED (SELECT row, lang, source, unnest(w) AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+    size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+    own AS MATERIALIZED (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term GROUP BY ALL),
+    total AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY lang, source),
+    p AS MATERIALIZED (
+        SELECT g.lang, g.source, kept.term, coalesce(own.n, 0) AS n,
+               1 + 1000000000::HUGEINT * (coalesce(own.n, 0) + 1) // (coalesce(total.total, 0) + size.v) AS p,
+               1 + 1000000000::HUGEINT * (kept.n + 1) // (size.total + size.v) AS q
+        FROM groups g JOIN size ON size.lang = g.lang JOIN kept ON kept.lang = g.lang LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+        LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = kept.term),
+    gaps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(gaps.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN gaps ON gaps.lang = a.lang AND gaps.source = a.source AND gaps.item = b.source),
+    parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+              UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts) WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op13_source_divergence", OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.session import materialised
+from semblance.session import materialised, shared_folder
 
 # Runs that count as words, and white space.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,3 +47,21 @@ def kept_rows(df: DataFrame) -> DataFrame:
 
 def hex_sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns of those very names, the first of equal ones; other columns may clash with them in any spelling."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the session's shared folder, which cuts its lineage; smaller than a checkpoint where columns repeat values."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """The small side of a join: broadcast where its counted rows are at most ``most``, else left to a shuffle join."""
+    return F.broadcast(df) if rows <= most else df
