@@ -8,6 +8,7 @@ from catalog.base import ORDER_SCHEMA, Tables, check, one_row, r, rounded
 from semblance.operators import learn as L
 from semblance.operators import prepare as P
 from semblance.operators import synth as Y
+from semblance.operators import trees
 from semblance.operators.profile import TableSchema
 
 TOKEN = "CASE WHEN priority IS NULL OR priority IN ('nan', '<NA>') THEN '__missing__' ELSE priority END"
@@ -214,6 +215,52 @@ def gbt_mixed_split(t: Tables):
     return held_out(L.mixed_parts(t("order_rows"), t("order_syn"), "status", "F", "id")[0])
 
 
+# The first boosted split on all orders: derivatives at a margin of zero, cut points by counting, every cut both ways, every category by its own.
+FIRST_SPLIT = f"""
+    WITH r AS (SELECT CAST(cust AS DOUBLE) AS cust, total, {TOKEN} AS priority, CASE WHEN status = 'F' THEN 1 ELSE 0 END AS y FROM order_rows),
+    d AS (SELECT DISTINCT cust, total FROM r),
+    v AS (SELECT 0 AS k, 'cust' AS name, cust AS x FROM d WHERE cust IS NOT NULL UNION ALL SELECT 1, 'total', total FROM d WHERE total IS NOT NULL),
+    s AS (SELECT k, name, list_sort(list(x)) AS xs, count(DISTINCT x) AS n FROM v GROUP BY k, name),
+    cuts AS (SELECT DISTINCT k, name, unnest(CASE WHEN n <= 256 THEN list_distinct(xs) ELSE list_transform(range(1, 256), lambda i: xs[1 + i * len(xs) // 256]) END) AS cut,
+                    xs[1] AS least, n FROM s),
+    u AS (SELECT (CASE WHEN y = 1 THEN -0.5e0 ELSE 0.5e0 END) AS g, 0.25e0 AS h, cust, total, priority FROM r),
+    whole AS (SELECT sum(g) AS g, sum(h) AS h FROM u),
+    x AS (SELECT 0 AS k, cust AS x, g, h FROM u UNION ALL SELECT 1, total, g, h FROM u),
+    num AS (SELECT k, name, cut, null_left, sum(g) FILTER (x < cut OR (x IS NULL AND null_left)) AS g, sum(h) FILTER (x < cut OR (x IS NULL AND null_left)) AS h
+            FROM cuts JOIN x USING (k), (VALUES (true), (false)) w(null_left) WHERE n > 256 OR cut > least GROUP BY k, name, cut, null_left),
+    cat AS (SELECT 2 AS k, 'priority' AS name, priority AS category, whole.g - sum(u.g) AS g, whole.h - sum(u.h) AS h FROM u, whole GROUP BY priority, whole.g, whole.h),
+    way AS (SELECT k, name, cut, NULL AS category, null_left, coalesce(g, 0) AS g, coalesce(h, 0) AS h FROM num UNION ALL SELECT k, name, NULL, category, false, g, h FROM cat),
+    got AS (SELECT way.*, whole.g - way.g AS rg, whole.h - way.h AS rh,
+                   way.g * way.g / (way.h + 1) + (whole.g - way.g) * (whole.g - way.g) / (whole.h - way.h + 1) - whole.g * whole.g / (whole.h + 1) AS gain FROM way, whole)
+    SELECT name AS column_name, cut, category, null_left, round(gain, 6) AS gain, round(-0.3e0 * g / (h + 1), 6) + 0e0 AS left_value, round(-0.3e0 * rg / (rh + 1), 6) + 0e0 AS right_value
+    FROM got WHERE h >= 1 AND rh >= 1 ORDER BY got.gain DESC, k, cut, null_left DESC LIMIT 1"""
+
+
+@check("gbt_first_split", FIRST_SPLIT, ("order_rows",))
+def gbt_first_split(t: Tables):
+    """One round of depth one: the split that the boosted trees begin with, nulls and categories included."""
+    df = t("order_rows").withColumn("__y", (F.col("status") == "F").cast("int"))
+    frame, numeric, text = L.feature_frame(df, ["cust", "total", "priority"], ["__y"])
+    model = trees.boost(frame, numeric, text, "__y", rounds=1, depth=1)
+    tree, names = model.trees[0], ["cust", "total", "priority"]
+    c, at = int(tree.col[1]), int(tree.at[1])
+    cut = float(model.code.cuts[c][at - 1]) if c < 2 else None
+    category = None if c < 2 else frame.where(F.xxhash64("t0") == at).first()["t0"]
+    y = frame.agg(F.sum("__y"), F.count(F.lit(1))).first()
+    # The gain follows from the leaves: each is -rate * G / (H + 1).
+    parts = {i: (-tree.value[i] / 0.3, None) for i in (1, 2, 3)}
+    goes = F.col(numeric[c]) < cut if c < 2 else F.col("t0") != category
+    left = F.coalesce(goes, F.lit(bool(tree.null_left[1])))
+    h = {1: y[1] / 4, 2: frame.where(left).count() / 4}
+    h[3] = h[1] - h[2]
+    gain = sum(parts[i][0] ** 2 * (h[i] + 1) * (1 if i > 1 else -1) for i in (1, 2, 3))
+    out = t.spark.createDataFrame(
+        [(names[c], cut, category, bool(tree.null_left[1]), float(gain), float(tree.value[2]), float(tree.value[3]))],
+        "column_name string, cut double, category string, null_left boolean, gain double, left_value double, right_value double",
+    )
+    return rounded(out, gain=6, left_value=6, right_value=6)
+
+
 @check("mia_auc")
 def mia_auc(t: Tables):
     return one_row(t.spark, auc=L.membership_auc(t("order_rows").drop("id"), t("order_syn").drop("id")))
