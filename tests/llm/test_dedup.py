@@ -172,7 +172,7 @@ def test_links_lose_none(spark):
             for b in rnd.sample(range(64), rnd.randrange(7)):
                 fp ^= 1 << b
             fps.add(fp - (1 << 64) if fp >> 63 else fp)
-    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    df = spark.createDataFrame([(x, x) for x in fps], "fp long, label long")
     got = {(r.a, r.b) for r in simhash.links(df).collect()}
     mask = (1 << 64) - 1
     assert got == {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & mask).bit_count() <= 4}
@@ -180,6 +180,51 @@ def test_links_lose_none(spark):
         simhash.links(df, distance=5)
 
 
+def reachable(fps, distance):
+    """{fingerprint: the smallest one reachable over pairs within the distance}."""
+    out, left, mask = {}, set(fps), (1 << 64) - 1
+    while left:
+        group, front = set(), {min(left)}
+        while front:
+            group |= front
+            left -= front
+            front = {b for b in left if any(((a ^ b) & mask).bit_count() <= distance for a in front)}
+        out |= dict.fromkeys(group, min(group))
+    return out
+
+
+@pytest.mark.parametrize("hot", [None, 3])
+def test_classes_of_near_copies(spark, monkeypatch, hot):
+    """Dense groups, with and without buckets that are tied by points; never more edges than fingerprints and classes ask for."""
+    rnd, fps = random.Random(8), set()
+    for _ in range(4):
+        centre = rnd.getrandbits(64)
+        for _ in range(150):
+            fp = centre
+            for b in rnd.sample(range(40, 64), rnd.randrange(6)):
+                fp ^= 1 << b
+            fps.add(fp - (1 << 64) if fp >> 63 else fp)
+    df = simhash.materialised(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    if hot:
+        plain = simhash.links
+        monkeypatch.setattr(simhash, "links", lambda c, d, s: plain(c, d, s, hot))
+    for distance in (4, 3, 2):
+        got = {r.fp: r.label for r in simhash.classes(df, distance).collect()}
+        assert got == reachable(fps, distance)
+
+
+def test_ties_are_links_and_connect_all(spark):
+    rnd = random.Random(4)
+    fps = [rnd.getrandbits(63) & ~0xFF | rnd.getrandbits(8) for _ in range(5)]
+    fps = sorted({f ^ rnd.getrandbits(8) for f in fps for _ in range(20)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for distance in (0, 1, 2, 3, 4):
+        edges = [(r.a, r.b) for r in simhash.ties(df, distance).collect()]
+        assert all((a ^ b).bit_count() <= distance for a, b in edges)
+        label = {f: f for f in fps} | ({r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()} if edges else {})
+        assert label == reachable(fps, distance)
+
+
 def test_simhash_null_and_repeated_ids(spark):
     got = simhash.near_duplicates(frame(spark, [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (None, "q r s t u v"), (9, None), (2, "  ")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("2", "2"), ("4", "4"), ("4", "4"), ("9", "2"), ("None", "4"), ("None", "None")]
