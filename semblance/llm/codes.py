@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semblance.llm.text import kept_rows, picked, written
-from semblance.session import ship
+from semblance.llm.text import kept_rows, picked
+from semblance.session import ship, written
 
 PARTS, ENTRIES, ROUNDS, UNIT = 4, 256, 4, 1_024
 BLOCK = 128  # vectors of a block

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semblance.llm.text import picked, sent, written
-from semblance.session import ship
+from semblance.llm.text import picked, sent
+from semblance.session import ship, written
 
 MIN_DOCS = 3
 TOP = 200
