@@ -1,58 +1,42 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-A text is normalised as the library does (a leading mark, spaces as marks) and
-cut where no piece of the vocabulary can reach across.  Within a cut, adjacent
-symbol pairs whose concatenation is a piece wait on an agenda ordered by score,
-then position; the best pair merges until none is left, and characters without a
-piece become bytes.  Every distinct cut that a worker meets is also encoded by
-the sentencepiece library, in one call for each Arrow batch, and must agree.
+A text is normalised as the library does (a leading mark, spaces as marks) and cut
+between characters that stand side by side in no piece, where no merge can reach
+across.  The cuts of a batch are encoded as a dictionary.  Within a cut that is
+new, adjacent symbol pairs whose concatenation is a piece wait on an agenda ordered
+by score, then position; the best pair merges until none is left, and characters
+without a piece become bytes.  Ids and decoded texts are taken from the dictionary
+for the whole batch.  Every distinct cut that a worker meets is also encoded by the
+sentencepiece library, in one call for each batch, and must agree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semblance.llm.text import body, named
+from semblance.llm.text import picked
 from semblance.session import ship
 
 MARK = "▁"
 CACHE = 400_000  # distinct cuts a worker remembers
-ROWS = 512  # rows of an outgoing batch
+CACHE_CHARS = 16_000_000  # characters of these together
+BATCH = 4_000_000  # characters of texts that are encoded at once, or one text
 SHORT = 40  # characters up to which a list is the faster agenda
 NEVER = float("inf")  # the rank of a pair that is no piece
 
-_CUT = re.compile(f"\n[^{MARK}\n]*|{MARK}*[^{MARK}\n]+|{MARK}+")
-
 _LOADED: dict[bytes, "Pieces"] = {}
 
 
-class Cuts(dict):
-    """Ids (little-endian bytes) by cut; missing ones are made and noted for the batch's check."""
-
-    def __init__(self, pieces: "Pieces"):
-        super().__init__()
-        self.pieces, self.new = pieces, []
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.pieces.merged(unit(key))
-        out = self[key] = b"".join([i.to_bytes(4, "little") for i in ids])
-        self.pieces.plain[key] = self.pieces.spelled(ids)
-        self.new.append(key)
-        return out
-
-
-def unit(key: str) -> str:
-    """A cut's text: keys go without the one mark in front of them, unless they begin with a line feed."""
-    return key if key[:1] == "\n" else MARK + key
-
-
 class Pieces:
     """The vocabulary of one model file and the cuts encoded so far."""
 
@@ -71,13 +55,43 @@ class Pieces:
         self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.text = {i: p.replace(MARK, " ") for i, p in plain}
         self.value = {i: v for v, i in self.byte.items()}
-        self.ids, self.plain = Cuts(self), {}
-
-    def cuts(self, text: str) -> list[str]:
-        """Keys of the text's cuts: no piece has a line feed, or goes from another character to a mark."""
-        if MARK not in text and "  " not in text and " \n" not in text and "\n " not in text and text[0] != " " != text[-1]:
-            return text.replace("\n", " \n").split(" ")
-        return [c if c[0] == "\n" else c[1:] for c in _CUT.findall(MARK + text.replace(" ", MARK))]
+        # Characters that stand beside others in some piece have a number; ``joins`` says which of them do so in that order.
+        beside = {pair for p in self.id for pair in zip(p, p[1:])}
+        number = {c: i for i, c in enumerate(sorted({c for pair in beside for c in pair}), 1)}
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in number]] = list(number.values())
+        self.width = len(number) + 1
+        self.joins = np.zeros(self.width * self.width, bool)
+        self.joins[[number[a] * self.width + number[b] for a, b in beside]] = True
+        self.ids: dict[str, bytes] = {}
+        self.plain: dict[str, str] = {}
+        self.new: list[str] = []
+        self.chars = 0
+
+    def cuts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All cuts of the texts one after the other, and the number of the first of each text (and behind the last)."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        starts = np.cumsum([0] + [len(m) for m in marked])
+        body = "".join(marked)
+        points = np.frombuffer(body.encode("utf-32-le"), np.uint32)
+        kind = self.kind[points]
+        apart = np.ones(len(points), bool)
+        apart[1:] = ~self.joins[kind[:-1] * self.width + kind[1:]]
+        apart[starts[:-1][starts[:-1] < len(points)]] = True
+        at = np.flatnonzero(apart)
+        size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64)
+        place = np.concatenate([[0], np.cumsum(size)])
+        offsets = place[np.append(at, len(points))].astype(np.int64)
+        cuts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(body.encode()))
+        return cuts, np.searchsorted(at, starts)
+
+    def learn(self, cut: str) -> None:
+        """Ids and text of a new cut, noted for the batch's check."""
+        ids = self.merged(cut)
+        self.ids[cut] = struct.pack(f"<{len(ids)}I", *ids)
+        self.plain[cut] = self.spelled(ids)
+        self.new.append(cut)
+        self.chars += len(cut)
 
     def merged(self, cut: str) -> list[int]:
         symbols = self._short(cut) if len(cut) <= SHORT else self._long(cut)
@@ -142,28 +156,55 @@ class Pieces:
             out.append(self.text[i])
         return "".join(out) + run.decode("utf-8", "replace")
 
+    def encode_all(self, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Number of ids, ids between begin and end as little-endian bytes, and the text they decode to, of every text."""
+        cuts, first = self.cuts(texts)
+        coded = cuts.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        for cut in known:
+            if cut not in self.ids:
+                self.learn(cut)
+        edges = [struct.pack("<I", i) for i in (self.begin, self.end)]
+        ids = pa.array([self.ids[c] for c in known] + edges, pa.large_binary())
+        spelled = pa.array([self.plain[c] for c in known], pa.large_string())
+        at, n = coded.indices.to_numpy(), len(texts)
+        # Begin and end stand around each text's cuts.
+        begins, ends = first[:-1] + 2 * np.arange(n), first[1:] + 2 * np.arange(n) + 1
+        every, inside = np.empty(len(at) + 2 * n, np.int64), np.ones(len(at) + 2 * n, bool)
+        every[begins], every[ends] = len(known), len(known) + 1
+        inside[begins] = inside[ends] = False
+        every[inside] = at
+        ids, size = _joined(ids.take(pa.array(every)), np.append(begins, len(every)))
+        texts, _ = _joined(spelled.take(coded.indices), first)
+        # The leading mark is not part of the text.
+        return pa.array(size // 4), ids.cast(pa.binary()), pc.utf8_slice_codeunits(texts, 1).cast(pa.string())
+
     def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids between begin and end as little-endian bytes, and the text they decode to."""
-        if not text:
-            return self.begin.to_bytes(4, "little") + self.end.to_bytes(4, "little"), ""
-        cuts = self.cuts(text)
-        ids = b"".join(map(self.ids.__getitem__, cuts))
-        decoded = "".join(map(self.plain.__getitem__, cuts))
-        return self.begin.to_bytes(4, "little") + ids + self.end.to_bytes(4, "little"), decoded[1:]
+        """Ids and decoded text of one text."""
+        _, ids, decoded = self.encode_all([text])
+        return ids[0].as_py(), decoded[0].as_py()
 
     def check(self) -> None:
         """Every new cut as the library encodes it behind a line feed; bounds the memory afterwards."""
-        new = self.ids.new
-        if new:
+        if self.new:
             lead = len(self.library.encode("\n"))
-            theirs = self.library.encode(["\n" + unit(c).replace(MARK, " ") for c in new], num_threads=1)
-            for cut, ids in zip(new, theirs):
-                if b"".join([i.to_bytes(4, "little") for i in ids[lead:]]) != self.ids[cut]:
+            theirs = self.library.encode(["\n" + c.replace(MARK, " ") for c in self.new], num_threads=1)
+            for cut, ids in zip(self.new, theirs):
+                if struct.pack(f"<{len(ids) - lead}I", *ids[lead:]) != self.ids[cut]:
                     raise ValueError(f"the library encodes {cut!r} otherwise")
-            self.ids.new = []
-        if len(self.ids) > CACHE:
+            self.new = []
+        if len(self.ids) > CACHE or self.chars > CACHE_CHARS:
             self.ids.clear()
             self.plain.clear()
+            self.chars = 0
+
+
+def _joined(parts: pa.Array, first: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Neighbouring entries of a string array run together, from each ``first`` to the next; and their sizes in bytes."""
+    _, offsets, data = parts.buffers()
+    place = np.frombuffer(offsets, np.int64)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
+    place = place[first]
+    return pa.Array.from_buffers(parts.type, len(first) - 1, [None, pa.py_buffer(place), data if data is not None else pa.py_buffer(b"")]), np.diff(place)
 
 
 def loaded(model: bytes) -> Pieces:
@@ -188,18 +229,20 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                done = [pieces.encode(t) for t in part.column(1).to_pylist()]
+            size = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + BATCH, side="right")))
+                part = batch.slice(first, last - first)
+                done = pieces.encode_all(part.column(1).to_pylist())
                 pieces.check()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) // 4 for i, _ in done], pa.int64()), pa.array([i for i, _ in done], pa.binary()),
-                     pa.array([d for _, d in done], pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(named(id_col).alias("doc_id"), body(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+                yield pa.RecordBatch.from_arrays([part.column(0), *done], ["doc_id", "n_tokens", "ids", "decoded"])
+                first = last
+
+    plain = picked(docs, id_col, text_col).toDF("doc_id", "text")
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    plain = plain.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return plain.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -41,6 +41,29 @@ def test_pieces_as_the_library(spark, library):
         assert got[d].decoded == library.decode(ids), t
 
 
+def test_pieces_of_very_many_odd_texts(library):
+    """Ten thousand short texts of letters, marks, spaces, digits, signs and rare characters, in batches."""
+    rnd = random.Random(16)
+    kinds = ["abcdefghij ktheingonr", "ABC the of ing", " \n\t\r", "0123456789.,-", "▁ ▁", "éüßñçÄ", "日本語한국", "\x00\x7f�\u200b\u0301", "😀🏽\U0001f9ff", "!?@#$%&*()[]{}<>\"'`~"]
+    texts = ["".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randrange(60))) for _ in range(10_000)]
+    own = pieces.Pieces(open(MODEL, "rb").read())
+    for at in range(0, len(texts), 1_000):
+        part = texts[at : at + 1_000]
+        n, ids, decoded = (c.to_pylist() for c in own.encode_all(part))
+        own.check()
+        theirs = library.encode(part, add_bos=True, add_eos=True)
+        assert ids == [struct.pack(f"<{len(i)}I", *i) for i in theirs] and n == [len(i) for i in theirs]
+        assert decoded == library.decode(theirs)
+
+
+def test_pieces_in_small_batches(spark, library, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["", "a b", None, "longer than a batch " * 9, "", "é", ""])]
+    plain = pieces.encode(frame(spark, rows), MODEL).collect()
+    monkeypatch.setattr(pieces, "BATCH", 3)
+    own = pieces.Pieces(open(MODEL, "rb").read())
+    assert [own.encode(t or "") for _, t in rows] == [(bytes(r.ids), r.decoded) for r in plain]
+
+
 def test_pieces_of_empty_and_repeated_rows(spark):
     assert pieces.encode(frame(spark, []), MODEL).count() == 0
     got = pieces.digest(pieces.encode(frame(spark, [(None, "a"), (None, "a")]), MODEL)).collect()
