@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import ORDER_SCHEMA, Tables, check, one_row, r, rounded
+from semblance.operators import dependence
 from semblance.operators import learn as L
 from semblance.operators import prepare as P
 from semblance.operators import synth as Y
 from semblance.operators import trees
 from semblance.operators.profile import TableSchema
+from semblance.session import written
 
 TOKEN = "CASE WHEN priority IS NULL OR priority IN ('nan', '<NA>') THEN '__missing__' ELSE priority END"
 WORDS = """words AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) - 1 AS idx FROM (
@@ -155,7 +157,7 @@ def mode_normalize(t: Tables):
     """Every value has a mode and an offset within one, and mode and offset give the value back where it is not clipped."""
     df = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     modes = P.fit_modes(df, "l_extendedprice")
-    out = P.mode_normalized(df, "l_extendedprice", modes)
+    out = P.mode_normalized(df, "l_extendedprice", modes, F.concat_ws(":", "l_orderkey", "l_linenumber"))
     pick = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in modes]), F.col("l_extendedprice_mode"))
     offset = F.col("l_extendedprice_offset")
     back = F.abs(offset * 4 * pick(2) + pick(1) - F.col("l_extendedprice")) < 1e-6
@@ -165,6 +167,20 @@ def mode_normalize(t: Tables):
     )
 
 
+MANY_MODES = "l_linenumber * 10 + l_discount * 10 + l_tax * 10 + (l_partkey % 11) / 11"
+
+
+@check(
+    "mode_recovery",
+    f"SELECT CAST(l_linenumber AS INTEGER) AS mode, count(*) AS n, round(avg({MANY_MODES}), 6) + 0e0 AS mean FROM lineitem GROUP BY l_linenumber",
+)
+def mode_recovery(t: Tables):
+    """Seven heaps of values that lie apart: as many modes are found, and each row is drawn to its own heap's."""
+    df = t("lineitem").selectExpr("l_orderkey", "l_linenumber", f"CAST({MANY_MODES} AS DOUBLE) AS x")
+    out = P.mode_normalized(df, "x", P.fit_modes(df, "x"), F.concat_ws(":", "l_orderkey", "l_linenumber"))
+    return rounded(out.groupBy(F.col("x_mode").alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean")), mean=6)
+
+
 # A score with ties and a label, both from the whole of orders.
 SCORED = "SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, round(o_totalprice / 1000, 0) + (o_custkey % 7) AS score, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS prediction FROM {orders}"
 
@@ -327,6 +343,58 @@ def synth_conditional(t: Tables):
     return kept_inside(t, Y.generate(t.spark, Y.fit(df, ORDER_SCHEMA), df.count(), condition={"status": "F"}), {"status": "F"})
 
 
+LINES = TableSchema(("discount", "tax"), ("flag", "ship", "size"), (), "status")
+LINE_ROWS = """SELECT l_discount AS discount, l_tax AS tax, l_returnflag AS flag, CAST(l_linenumber AS VARCHAR(10)) AS size,
+    CASE WHEN l_quantity < 10 THEN 'few' WHEN l_quantity < 30 THEN 'some' ELSE 'many' END AS ship, l_linestatus AS status FROM lineitem"""
+LINE_COLUMNS = ("discount", "flag", "ship", "size", "status", "tax")
+ENTROPY = "(SELECT ln(sum(n)) - sum(n * ln(n)) / sum(n) FROM (SELECT count(*) AS n FROM l GROUP BY {}))"
+
+
+@check(
+    "column_information",
+    f"WITH l AS ({LINE_ROWS}) " + " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(greatest({ENTROPY.format(a)} + {ENTROPY.format(b)} - {ENTROPY.format(a + ', ' + b)}, 0), 6) + 0e0 AS information"
+        for i, a in enumerate(LINE_COLUMNS) for b in LINE_COLUMNS[i + 1 :]
+    ),
+)
+def column_information(t: Tables):
+    """Mutual information of every pair of columns, from which the generator's tree is chosen."""
+    df = t.spark.sql(LINE_ROWS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t("lineitem"))
+    found, columns = dependence.mutual_information(df, LINES)
+    pairs = [(*sorted((columns[i], columns[j])), v) for (i, j), v in found.items()]
+    return rounded(t.spark.createDataFrame(pairs, "column_a string, column_b string, information double"), information=6)
+
+
+@check(
+    "tree_synth_pairs",
+    "SELECT count(*) AS n_rows, 3 AS n_edges, true AS within_chance, CAST(count(*) FILTER (status = 'F') AS BIGINT) AS n_given, true AS given_within_chance FROM order_rows",
+    ("order_rows",),
+)
+def tree_synth_pairs(t: Tables):
+    """Joint shares of the drawn rows on every edge of the tree, and below a condition, within chance of the real ones."""
+    real = P.training_frame(t("order_rows"), ORDER_SCHEMA)
+    model = dependence.fit(t("order_rows"), ORDER_SCHEMA)
+    n, n_given = real.count(), real.where("status = 'F'").count()
+
+    def near(real_rows, drawn, size):
+        ok = True
+        a, b = (dependence.states(x.select(*model.columns), model.columns, model.numbers) for x in (real_rows, drawn))
+        for i, j in model.edges:
+            want = a.groupBy(f"s{i}", f"s{j}").agg((F.count(F.lit(1)) / size).alias("want"))
+            got = b.groupBy(F.col(f"s{i}").alias("__i"), F.col(f"s{j}").alias("__j")).agg((F.count(F.lit(1)) / size).alias("got"))
+            both = want.join(got, (F.col(f"s{i}") == F.col("__i")) & (F.col(f"s{j}") == F.col("__j")), "full").na.fill(0.0, ["want", "got"])
+            # Eight deviations, and a rounded value may stand in the next bin.
+            ok &= both.where(F.abs(F.col("got") - F.col("want")) > 8 * F.sqrt((F.col("want") + 1 / size) / size) + 0.1 * F.col("want")).isEmpty()
+        return ok
+
+    drawn, given = dependence.generate(t.spark, model, n), dependence.generate(t.spark, model, n_given, condition={"status": "F"})
+    drawn, given = written(drawn), written(given)
+    # Below a condition only the edges at the given column keep their real joint counts; along the tree all do.
+    at = model.columns.index("status")
+    near_given = near(real.where("status = 'F'"), given, n_given) if all(at in e for e in model.edges) else given.where("status != 'F'").isEmpty()
+    return one_row(t.spark, n_rows=drawn.count(), n_edges=len(model.edges), within_chance=near(real, drawn, n), n_given=given.count(), given_within_chance=near_given)
+
+
 @check(
     "synth_marginals",
     """SELECT 'name' AS column_name, count(*) * 100 AS n_rows, 0 AS n_unknown, 0 AS n_missing, true AS within_chance FROM customer

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,31 +176,158 @@ def class_weight(df: DataFrame, target: str, positive) -> DataFrame:
 # -- mode-specific encoding -------------------------------------------------
 
 
-def fit_modes(df: DataFrame, column: str, modes: int = 5, seed: int = 42) -> list[tuple[float, float, float]]:
-    """(weight, mean, std) of a 1-D Gaussian mixture of the column."""
+MODES = 10  # modes a column has at most
+MODE_WEIGHT = 0.005  # modes of less are dropped
+SPREAD = 0.001  # concentration of the stick-breaking prior: small, so that modes the data do not need lose their weight
+PULL = 0.001  # rows that the overall mean weighs in a mode's mean
+MODE_CELLS = 1_024  # cells of about equal counts that a column's values are summed in
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """The logarithmic derivative of the gamma function for positive numbers."""
+    x, out = np.array(x, float), np.zeros(np.shape(x))
+    for _ in range(8):
+        small = x < 8
+        out -= np.where(small, 1 / x, 0)
+        x = np.where(small, x + 1, x)
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def _bound(a, b, beta, freedom, scale, centre, prior_mean, prior_var, concentration) -> float:
+    """What the posterior of the sticks, means and precisions costs against their priors."""
+    gamma = np.vectorize(math.lgamma)
+    prior = math.lgamma(concentration) - math.lgamma(1 + concentration)
+    sticks = prior - (gamma(a) + gamma(b) - gamma(a + b))
+    sticks += (a - 1) * _digamma(a) + (b - concentration) * _digamma(b) + (1 + concentration - a - b) * _digamma(a + b)
+    means = 0.5 * (np.log(beta / PULL) + PULL / beta - 1 + PULL * freedom / scale * np.square(centre - prior_mean))
+    shape, rate = freedom / 2, scale / 2
+    precisions = (shape - 0.5) * _digamma(shape) - gamma(shape) + math.lgamma(0.5) + 0.5 * np.log(rate / (prior_var / 2)) + shape * (prior_var / 2 - rate) / rate
+    return float((sticks + means + precisions).sum())
+
+
+def mixture(n: np.ndarray, s: np.ndarray, q: np.ndarray, modes: int = MODES, steps: int = 300, concentration: float = SPREAD) -> list[tuple[float, float, float]]:
+    """(weight, mean, std) of a truncated Dirichlet-process mixture of Gaussians, by variational expectation-maximisation.
+
+    ``n``, ``s`` and ``q`` are the counts, sums and sums of squares of cells of neighbouring values, in order; a cell is
+    given to the modes as a whole.  The prior deviation is a ``modes``-th of the data's, with the weight of one row.  It
+    begins with one, two, ... ``modes`` stretches of equal counts, goes on with the three of the best lower bound of the
+    evidence, and keeps the best end; then modes are left out, the smallest first, as long as that raises the bound.
+    """
+    total, x = n.sum(), s / n
+    prior_mean = s.sum() / total
+    prior_var = max(q.sum() / total - prior_mean**2, 1e-300) / modes**2
+    inside = np.maximum(q / n - x * x, 0)
+
+    def step(r: np.ndarray) -> tuple[np.ndarray, tuple]:
+        # The stick is broken in the order of the modes' sizes.
+        r = r[:, np.argsort(-(n @ r), kind="stable")]
+        count = n @ r
+        mean = np.divide(s @ r, count, out=np.full(modes, prior_mean), where=count > 1e-12)
+        within = np.maximum(q @ r - 2 * mean * (s @ r) + mean * mean * count, 0)
+        beta, freedom = PULL + count, 1 + count
+        centre = (PULL * prior_mean + count * mean) / beta
+        scale = prior_var + within + PULL * count / beta * np.square(mean - prior_mean)
+        a, b = 1 + count, concentration + np.concatenate([np.cumsum(count[::-1])[::-1][1:], [0]])
+        of_a, of_b, of_both, of_half = np.split(_digamma(np.concatenate([a, b, a + b, freedom / 2])), 4)
+        weight = of_a - of_both + np.concatenate([[0], np.cumsum(of_b - of_both)[:-1]])
+        log = weight + 0.5 * (of_half + np.log(2) - np.log(scale) - 1 / beta)
+        log = log - 0.5 * freedom / scale * (np.square(x[:, None] - centre) + inside[:, None])
+        top = log.max(axis=1, keepdims=True)
+        r = np.exp(log - top)
+        fit = r.sum(axis=1, keepdims=True)
+        return r / fit, (a, b, beta, freedom, scale, centre, float(n @ (np.log(fit) + top)[:, 0]))
+
+    def bound(end: tuple) -> float:
+        return end[-1] - _bound(*end[:-1], prior_mean, prior_var, concentration)
+
+    begun = []
+    for k in range(1, modes + 1):
+        r = np.zeros((len(n), modes))
+        r[np.arange(len(n)), np.minimum((np.cumsum(n) - n / 2) * k / total, k - 1).astype(int)] = 1.0
+        for _ in range(40):
+            r, end = step(r)
+        begun.append((bound(end), -k, r))
+    def ended(r: np.ndarray) -> tuple:
+        now = -np.inf
+        for i in range(steps):
+            r, end = step(r)
+            if i % 20 == 0:
+                before, now = now, bound(end)
+                if now - before < 1e-7 * total:
+                    break
+        return now, r, end
+
+    best = max((ended(r) for _, _, r in sorted(begun, key=lambda e: e[:2], reverse=True)[:3]), key=lambda e: e[0])
+    tried = True
+    while tried:
+        tried = False
+        size = n @ best[1]
+        for k in np.argsort(size):
+            # Only a mode that others could take over.
+            if 0.5 < size[k] < 0.05 * total:
+                rest = np.delete(best[1], k, axis=1)
+                rest = np.insert(rest / np.maximum(rest.sum(axis=1, keepdims=True), 1e-300), modes - 1, 0.0, axis=1)
+                other = ended(rest)
+                if other[0] > best[0] + 1e-6 * total:
+                    best, tried = other, True
+                    break
+    a, b, _, freedom, scale, centre, _ = best[2]
+    share = a / (a + b) * np.concatenate([[1], np.cumprod(b / (a + b))[:-1]])
+    return sorted([(float(w), float(m), float(v)) for w, m, v in zip(share, centre, np.sqrt(scale / freedom))], key=lambda m: m[1])
+
+
+def mode_cells(df: DataFrame, column: str, cells: int = MODE_CELLS) -> tuple[list[tuple[int, float, float]], float, float]:
+    """(count, sum, sum of squares) of about equal cells of the column's order; then the column's mean and deviation.
+
+    A value that fills a cell has one of its own.  Sums are of the distances from the mean in deviations, so squares keep their digits.
+    """
     x = df.select(number(col(column), df.schema[column].dataType).alias("x")).where("x IS NOT NULL")
-    stats = x.agg(F.avg("x"), F.stddev_pop("x")).first()
+    stats = x.agg(F.avg("x"), F.stddev_pop("x"), F.percentile_approx("x", [i / cells for i in range(1, cells)], 4 * cells)).first()
     mean, std = stats[0] or 0.0, stats[1] or 0.0
+    if std == 0:
+        return [], mean, std
+    cuts = sorted(set(stats[2]))
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="x", outputCol="cell").transform(x)
+    z = (F.col("x") - mean) / std
+    # Cells also end at equal steps of the value, so none holds both sides of a gap.
+    step = F.floor(F.greatest(F.least(z, F.lit(16.0)), F.lit(-16.0)) * 32).alias("step")
+    found = cut.groupBy("cell", step).agg(F.count(F.lit(1)).alias("n"), F.sum(z).alias("s"), F.sum(z * z).alias("q")).orderBy("cell", "step").collect()
+    return [(r["n"], r["s"], r["q"]) for r in found], mean, std
+
+
+def fit_modes(df: DataFrame, column: str, modes: int = MODES, least: float = MODE_WEIGHT) -> list[tuple[float, float, float]]:
+    """(weight, mean, std) of the column's modes, as many as it needs and at most ``modes``, by mean; weights add up to one."""
+    cells, mean, std = mode_cells(df, column)
     if std == 0:
         return [(1.0, mean, 1.0)]
-    scaled = VectorAssembler(inputCols=["z"], outputCol="v").transform(x.select(((F.col("x") - mean) / std).alias("z")))
-    model = GaussianMixture(featuresCol="v", k=modes, maxIter=30, seed=seed).fit(scaled)
-    found = []
-    for w, g in zip(model.weights, model.gaussians):
-        spread = float(np.sqrt(max(g.cov.toArray()[0][0], 1e-12))) * std
-        found.append((float(w), float(g.mean.toArray()[0]) * std + mean, spread))
-    return sorted(found, key=lambda m: m[1])
+    n, s, q = (np.array(v, float) for v in zip(*cells))
+    found = [m for m in mixture(n, s, q, modes) if m[0] >= least]
+    total = sum(w for w, _, _ in found)
+    return [(w / total, m * std + mean, v * std) for w, m, v in found]
 
 
-def mode_normalized(df: DataFrame, column: str, modes: list[tuple[float, float, float]]) -> DataFrame:
-    """Adds the most likely mode ``<column>_mode`` and the offset ``<column>_offset`` in four of its stds."""
+def mode_normalized(df: DataFrame, column: str, modes: list[tuple[float, float, float]], row_key: Column | None = None, seed: int = 42) -> DataFrame:
+    """Adds a mode ``<column>_mode`` (from 1) and the offset ``<column>_offset`` from its mean in four of its stds.
+
+    With ``row_key`` the mode is drawn by its responsibility for the value, by the key's hash; else it is the most likely one.
+    """
     x = number(col(column), df.schema[column].dataType)
     scores = F.array(
         *[F.lit(float(np.log(max(w, 1e-300)) - np.log(s))) - (x - F.lit(m)) * (x - F.lit(m)) / F.lit(2 * s * s) for w, m, s in modes]
     )
-    best = F.array_position(scores, F.array_max(scores)).cast("int")
+    if row_key is None:
+        mode = F.array_position(scores, F.array_max(scores)).cast("int")
+    else:
+        likely = F.transform(scores, lambda v: F.exp(v - F.array_max(scores)))
+        # The first mode at which the shares so far reach the draw.
+        upto = [F.aggregate(F.slice(likely, 1, k + 1), F.lit(0.0), lambda a, b: a + b) for k in range(len(modes))]
+        at = hash_uniform(seed, row_key, F.lit(column), F.lit("mode")) * upto[-1]
+        mode = F.lit(1)
+        for part in upto[:-1]:
+            mode = mode + (part <= at).cast("int")
     pick = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in modes]), F.col(f"{column}_mode"))
-    return df.withColumn(f"{column}_mode", F.when(x.isNotNull(), best)).withColumn(
+    return df.withColumn(f"{column}_mode", F.when(x.isNotNull(), mode)).withColumn(
         f"{column}_offset", clipped((x - pick(1)) / (4 * pick(2)), -1.0, 1.0)
     )
 

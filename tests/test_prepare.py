@@ -1,5 +1,7 @@
 from statistics import NormalDist
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,48 @@ def test_mode_encoding_can_be_undone(rows):
     assert P.fit_modes(df.withColumn("x", F.lit(3.0)), "x") == [(1.0, 3.0, 1.0)]
 
 
+def planted(spark, spec, seed=0):
+    rnd = np.random.default_rng(seed)
+    x = np.concatenate([rnd.normal(m, s, n) for m, s, n in spec])
+    return x, spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double").repartition(4)
+
+
+@pytest.mark.parametrize("spec", [[(0, 1, 3000), (10, 2, 3000)], [(i * 10, 1, 400 * (1 + i % 3)) for i in range(7)], [(5, 3, 4000)], [(0, 1, 3000), (4, 0.3, 1000)]])
+def test_modes_are_as_many_as_planted(spark, spec):
+    x, df = planted(spark, spec)
+    found = P.fit_modes(df, "x")
+    assert len(found) == len(spec) and sum(w for w, _, _ in found) == pytest.approx(1)
+    for (w, m, s), (mean, std, n) in zip(found, spec):
+        assert w == pytest.approx(n / len(x), abs=0.02) and m == pytest.approx(mean, abs=0.15 * std) and s == pytest.approx(std, rel=0.12)
+
+
+def test_mixture_steps_as_plain_formulas():
+    """The end is a fixed point of the update equations, written out here cell by cell."""
+    rnd = np.random.default_rng(3)
+    z = np.sort(np.concatenate([rnd.normal(-1, 0.2, 150), rnd.normal(1, 0.3, 150)]))
+    one = np.ones(len(z))
+    found = P.mixture(one, z, z * z, modes=4)
+    kept = [m for m in found if m[0] > 0.01]
+    assert len(kept) == 2
+    density = [[w * math.exp(-((v - m) ** 2) / (2 * s * s)) / s for w, m, s in kept] for v in z]
+    share = [[d / sum(row) for d in row] for row in density]
+    for k, (w, m, s) in enumerate(kept):
+        n = sum(r[k] for r in share)
+        mean = sum(r[k] * v for r, v in zip(share, z)) / n
+        assert (w, m) == (pytest.approx(n / len(z), abs=0.01), pytest.approx(mean, abs=0.01))
+        assert s == pytest.approx(math.sqrt(sum(r[k] * (v - mean) ** 2 for r, v in zip(share, z)) / n), rel=0.05)
+
+
+def test_modes_are_drawn_by_responsibility(spark):
+    modes = [(0.75, 0.0, 1.0), (0.25, 0.0, 2.0)]
+    df = spark.createDataFrame([(i, 1.5) for i in range(20_000)] + [(20_000, None)], "id long, x double")
+    got = P.mode_normalized(df, "x", modes, F.col("id"))
+    odds = [w / s * math.exp(-(1.5**2) / (2 * s * s)) for w, _, s in modes]
+    assert got.where("x_mode = 1").count() / 20_000 == pytest.approx(odds[0] / sum(odds), abs=0.012)
+    assert got.where("x IS NULL").first()["x_mode"] is None
+    assert got.repartition(3).exceptAll(P.mode_normalized(df, "x", modes, F.col("id"))).count() == 0
+
+
 def test_auc_with_ties(spark):
     pairs = [(0, 0.1), (0, 0.4), (1, 0.4), (1, 0.8), (0, 0.8), (1, 0.9)]
     df = spark.createDataFrame(pairs, "label int, score double")
