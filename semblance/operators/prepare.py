@@ -313,23 +313,26 @@ def mode_normalized(df: DataFrame, column: str, modes: list[tuple[float, float,
     With ``row_key`` the mode is drawn by its responsibility for the value, by the key's hash; else it is the most likely one.
     """
     x = number(col(column), df.schema[column].dataType)
-    scores = F.array(
-        *[F.lit(float(np.log(max(w, 1e-300)) - np.log(s))) - (x - F.lit(m)) * (x - F.lit(m)) / F.lit(2 * s * s) for w, m, s in modes]
-    )
+    names = [f"__mode{k}" for k in range(len(modes))]
+    # Step by step, so that no score is worked out more than once.
+    out = df.withColumns({
+        n: F.lit(float(np.log(max(w, 1e-300)) - np.log(s))) - (x - F.lit(m)) * (x - F.lit(m)) / F.lit(2 * s * s) for n, (w, m, s) in zip(names, modes)
+    })
+    out = out.withColumn("__top", F.greatest(*names) if len(names) > 1 else F.col(names[0]))
     if row_key is None:
-        mode = F.array_position(scores, F.array_max(scores)).cast("int")
+        mode = F.array_position(F.array(*names), F.col("__top")).cast("int")
     else:
-        likely = F.transform(scores, lambda v: F.exp(v - F.array_max(scores)))
         # The first mode at which the shares so far reach the draw.
-        upto = [F.aggregate(F.slice(likely, 1, k + 1), F.lit(0.0), lambda a, b: a + b) for k in range(len(modes))]
-        at = hash_uniform(seed, row_key, F.lit(column), F.lit("mode")) * upto[-1]
-        mode = F.lit(1)
-        for part in upto[:-1]:
-            mode = mode + (part <= at).cast("int")
+        so_far = {}
+        for n in names:
+            so_far[n] = sum((F.exp(F.col(k) - F.col("__top")) for k in so_far), F.exp(F.col(n) - F.col("__top")))
+        out = out.withColumns(so_far).withColumn("__at", hash_uniform(seed, row_key, F.lit(column), F.lit("mode")) * F.col(names[-1]))
+        mode = sum(((F.col(n) <= F.col("__at")).cast("int") for n in names[:-1]), F.lit(1))
     pick = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in modes]), F.col(f"{column}_mode"))
-    return df.withColumn(f"{column}_mode", F.when(x.isNotNull(), mode)).withColumn(
+    out = out.withColumn(f"{column}_mode", F.when(x.isNotNull(), mode)).withColumn(
         f"{column}_offset", clipped((x - pick(1)) / (4 * pick(2)), -1.0, 1.0)
     )
+    return out.drop(*names, "__top", "__at")
 
 
 # -- condition sampling -----------------------------------------------------
