@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from semblance.functions.scalars import NUMBER_TEXT, col, finite, normalized
 from semblance.operators.validate import TableError
+from semblance.session import materialised
+from semblance.sources.quoted import records
 
 # Texts read as missing, text forms, messages.
 NA_TOKENS = [
@@ -59,19 +61,29 @@ def _open_quotes(spark: SparkSession, path: str, quote: str) -> bool:
     return not lines.where(odd).isEmpty()
 
 
+def _parsed(found: DataFrame, schema: T.StructType, options: dict[str, str]) -> DataFrame:
+    """The records' fields by the schema; the first record of each file is its header, and all headers must be the same."""
+    found = materialised(found)
+    headers = found.where("first").select(F.regexp_replace("text", "^\ufeff", "").alias("text")).distinct().limit(2).collect()
+    if len(headers) > 1:
+        raise TableError(OTHER_HEADER)
+    # Fields by place, as header names may be any text.
+    plain = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(schema) - 1)] + [schema[-1]])
+    rows = found.where("NOT first").select(F.from_csv("text", plain.simpleString()[7:-1].replace(":", " ").replace(",", ", "), options).alias("r"))
+    return rows.select(*[F.col(f"r.{p.name}").alias(f.name) for p, f in zip(plain, schema)])
+
+
 def scan_csv(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     """Read CSV files with a header row.
 
     Rows with too many fields are an error, as are files whose header differs from the first one's; short rows are
-    filled with nulls.  Tokens for missing values are compared before trimming, on the whole field.  Files with line
-    breaks inside quotes are read one file a task, as only the quotes before a line tell what it belongs to; all
-    others are split.  Only files that end in .csv, in either case, are read.
+    filled with nulls.  Tokens for missing values are compared before trimming, on the whole field.  All files are
+    read in splits, those with line breaks inside quotes too.  Only files that end in .csv, in either case, are read.
     """
     try:
         several = _open_quotes(spark, path, quote)
-        reader = spark.read.option("header", True).option("quote", quote).option("escape", quote).option("multiLine", several)
-        reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        reader = reader.option("pathGlobFilter", CSV_FILES).option("nullValue", "").option("emptyValue", "")
+        options = {"quote": quote, "escape": quote, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "", "emptyValue": ""}
+        reader = spark.read.options(**options).option("header", True).option("multiLine", several).option("pathGlobFilter", CSV_FILES)
         header = reader.csv(path)
     except AnalysisException as e:
         raise TableError(f"{NO_CSV}: no readable .csv under '{path}'.") from e
@@ -79,8 +91,11 @@ def scan_csv(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     if not names:
         raise TableError(EMPTY_CSV)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", False)
-    raw = reader.schema(schema).csv(path)
+    lenient = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if several:
+        raw = _parsed(records(spark, path, CSV_FILES, quote), schema, {**options, **lenient})
+    else:
+        raw = reader.options(**lenient).option("enforceSchema", False).schema(schema).csv(path)
     value = {n: F.when(~col(n).isin(*NA_TOKENS), col(n)) for n in names}
     is_number = lambda v: F.trim(v).rlike(NUMBER_TEXT) | F.trim(v).rlike(INFINITE_TEXT)
     facts = [
