@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.llm.text import body, hex_sha256, kept_rows, lowered, named, upto, words_of
+from semblance.llm.text import body, hex_sha256, kept_rows, lowered, named, picked, upto, words_of
 from semblance.session import materialised
 
 WINDOW = 10  # words that make a hit
@@ -41,7 +41,7 @@ def prints(words: Column, size: int, k: int, starts: Column, keep=None) -> Colum
 
 
 def tokens(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    out = df.select(named(key).alias("key"), words_of(lowered(body(text))).alias("words"))
+    out = picked(df, key, text).select(named(key).alias("key"), words_of(lowered(body(text))).alias("words"))
     return out.withColumn("g", F.transform(upto(F.size("words") - k), lambda at: gram(F.col("words"), at, k)))
 
 

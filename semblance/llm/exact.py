@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semblance.llm.text import SPACE, body, hex_sha256, named, upto
+from semblance.llm.text import SPACE, body, hex_sha256, named, picked, upto
 from semblance.session import materialised
 
 BLOCK = 2_048  # code points of a block
@@ -68,7 +68,7 @@ def block_names(hashed: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, names): the distinct rows with their count and digest, and the one name of each."""
-    text = docs.select(named(id_col).alias("doc_id"), body(text_col).alias("t"))
+    text = picked(docs, id_col, text_col).select(named(id_col).alias("doc_id"), body(text_col).alias("t"))
     whole = text.select(
         "doc_id", F.length("t").cast("long").alias("n_chars"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit("row"), "t").alias("h2"),
         normalised(F.col("t")).alias("norm"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semblance.llm.text import body, kept_rows, lowered, named, upto, words_of
+from semblance.llm.text import body, kept_rows, lowered, named, picked, upto, words_of
 
 # Phrases and the labels they stand for.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -91,7 +91,7 @@ def scan(
     spark = docs.sparkSession
     grams = template_grams(spark, templates, k)
     known = sorted({r.h for r in grams.select("h").collect()})
-    text = docs.select(named(id_col).alias("doc_id"), lowered(body(text_col)).alias("t"))
+    text = picked(docs, id_col, text_col).select(named(id_col).alias("doc_id"), lowered(body(text_col)).alias("t"))
     split = text.select("doc_id", "t", words_of(F.col("t")).alias("words"))
     words = F.col("words")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.llm.text import body, hex_sha256, lowered, named
+from semblance.llm.text import body, hex_sha256, lowered, named, picked
 from semblance.session import materialised, ship
 
 MIN_DOCS = 3
@@ -113,7 +113,7 @@ def line_key(line: Column) -> Column:
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(doc_id, h, pos, k1, k2) of every line whose key is long enough; h is the text's hash."""
-    text = docs.select(named(id_col).alias("doc_id"), body(text_col).alias("t"))
+    text = picked(docs, id_col, text_col).select(named(id_col).alias("doc_id"), body(text_col).alias("t"))
     cut = text.select("doc_id", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
     keyed = cut.select("doc_id", "h", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     return keyed.select("doc_id", "h", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("line"), "key").alias("k2"))
@@ -240,22 +240,24 @@ def kept(docs: DataFrame, index: LineIndex | None = None, id_col: str = "doc_id"
     ``min_chars`` code points in at least ``min_docs`` documents of the index lose all lines except in the largest
     doc_id that holds the key.  Null and empty texts are one empty line, and the result is empty, not null.  Rows of
     one doc_id count as one document and each is reduced; the null id is the smallest one.  Result columns named
-    n_lines and n_dropped replace columns of that name.
+    n_lines and n_dropped replace columns of that name in any spelling of case.  Keys are told apart by 128 bits of hash.
     """
     index = index or build(docs, id_col, text_col)
     at = drops(docs, index, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("at").alias("__at"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*[named(c) for c in columns if c != text_col], body(text_col).alias(text_col))
-    same = named(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(named(text_col)) == F.col("__h"))
-    met = rows.join(at, same, "left").withColumn("__lines", F.split(named(text_col), "\n", -1))
+    # Columns by place, as their names can be any.
+    stay = [i for i, c in enumerate(docs.columns) if c.lower() not in ("n_lines", "n_dropped")]
+    id_at, text_at = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(text_at, body(text_at))
+    same = F.col(id_at).eqNullSafe(F.col("__id")) & (F.xxhash64(text_at) == F.col("__h"))
+    met = rows.join(at, same, "left").withColumn("__lines", F.split(text_at, "\n", -1))
     n = F.size("__lines")
     left = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__at")), lambda i: F.get("__lines", i))
-    text = F.when(F.col("__at").isNull(), named(text_col)).otherwise(F.array_join(left, "\n"))
+    text = F.when(F.col("__at").isNull(), F.col(text_at)).otherwise(F.array_join(left, "\n"))
     return met.select(
-        *[text.alias(c) if c == text_col else named(c) for c in columns], n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("__at"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+        *[text if f"c{i}" == text_at else F.col(f"c{i}") for i in stay], n.cast("long"), F.coalesce(F.size("__at"), F.lit(0)).cast("long"),
+    ).toDF(*[docs.columns[i] for i in stay], "n_lines", "n_dropped")
 
 
 def digest(reduced: DataFrame) -> DataFrame:
+    reduced = picked(reduced, "doc_id", "n_lines", "n_dropped", "text")
     return reduced.select("doc_id", "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"), hex_sha256(F.col("text")).alias("kept_sha256"))

@@ -28,9 +28,9 @@ from semblance.llm.text import picked
 from semblance.session import ship
 
 MARK = "▁"
-CACHE = 400_000  # distinct cuts a worker remembers
+CACHE = 300_000  # distinct cuts a worker remembers
 CACHE_CHARS = 16_000_000  # characters of these together
-BATCH = 4_000_000  # characters of texts that are encoded at once, or one text
+BATCH = 1_000_000  # characters of texts that are encoded at once, or one text
 SHORT = 40  # characters up to which a list is the faster agenda
 NEVER = float("inf")  # the rank of a pair that is no piece
 
@@ -89,7 +89,9 @@ class Pieces:
         """Ids and text of a new cut, noted for the batch's check."""
         ids = self.merged(cut)
         self.ids[cut] = struct.pack(f"<{len(ids)}I", *ids)
-        self.plain[cut] = self.spelled(ids)
+        # Most cuts decode to themselves; only the others are kept.
+        if (text := self.spelled(ids)) != cut.replace(MARK, " "):
+            self.plain[cut] = text
         self.new.append(cut)
         self.chars += len(cut)
 
@@ -166,7 +168,7 @@ class Pieces:
                 self.learn(cut)
         edges = [struct.pack("<I", i) for i in (self.begin, self.end)]
         ids = pa.array([self.ids[c] for c in known] + edges, pa.large_binary())
-        spelled = pa.array([self.plain[c] for c in known], pa.large_string())
+        spelled = pa.array([self.plain[c] if c in self.plain else c.replace(MARK, " ") for c in known], pa.large_string())
         at, n = coded.indices.to_numpy(), len(texts)
         # Begin and end stand around each text's cuts.
         begins, ends = first[:-1] + 2 * np.arange(n), first[1:] + 2 * np.arange(n) + 1

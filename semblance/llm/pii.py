@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semblance.llm import spans
-from semblance.llm.text import body, lowered, named
+from semblance.llm.text import body, lowered, named, picked
 
 # Fixed patterns.  A run fails or matches from its first character, so a look-behind (or the last match's end) spares
 # later starts; possessive loops match the same, without backtracking or recursion.
@@ -154,7 +154,7 @@ def reliabilities(patterns: dict[tuple[int, ...], float], rounds: int = 50) -> t
 
 def train(docs: DataFrame, text_col: str = "text") -> dict:
     """The classifier: a bias and a weight for each feature value; at most a few thousand counts leave the cluster."""
-    text = docs.select(body(text_col).alias("t"))
+    text = picked(docs, text_col).select(body(text_col).alias("t"))
     base, loose = candidates(F.col("t"))
     hits = text.select("t", F.concat(base, loose).alias("hits")).select(F.explode(voted(F.col("t"), F.col("hits"))).alias("s"))
     counts = [r.asDict() for r in hits.groupBy(*[F.col(f"s.vote.{k}").alias(k) for k in FEATURES]).agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     repeated rows each give a row, ids may be null, an empty table stays empty, other columns are not read.  Offsets
     are in code points, stop exclusive.
     """
-    text = docs.select(named(id_col).alias("doc_id"), body(text_col).alias("t"))
+    text = picked(docs, id_col, text_col).select(named(id_col).alias("doc_id"), body(text_col).alias("t"))
     base, loose = candidates(F.col("t"))
     based = text.select("doc_id", "t", base.alias("base"), loose.alias("loose"))
     apart = based.select("doc_id", "base", voted(F.col("t"), spans.outside(F.col("loose"), F.col("base"))).alias("loose"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.llm.text import LOWER, UPPER, body, named
+from semblance.llm.text import LOWER, UPPER, body, named, picked
 from semblance.session import materialised, ship
 
 SAMPLE = 16_384  # labelled documents that the fit uses at most, about; drawn by hash over all labelled documents
@@ -90,13 +90,13 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     An id with several labels has their majority (1 on a tie); null ids and labels teach nothing.
     """
     y = F.when(F.avg(named(label_col).cast("double")) >= 0.5, 1).otherwise(-1)
-    known = labels.where(named(id_col).isNotNull() & named(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(named(id_col).alias("id")).agg(y.alias("y"))
+    known = picked(labels, id_col, label_col).where(named(id_col).isNotNull() & named(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(named(id_col).alias("id")).agg(y.alias("y"))
     count = known.count()
     draw = F.pmod(F.xxhash64(F.lit("quality sample"), F.col("id")), F.lit(1_000_003)) / 1_000_003
     blocks = max(LEAST_BLOCKS, round(min(count, sample) / BLOCK))
     drawn = known.where(draw < min(1.0, sample / max(count, 1))).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.lit(blocks)).cast("int"))
     # The sample's size is bounded, so it is sent to the documents.
-    text = docs.select(named(id_col).alias("id"), body(text_col).alias("text"))
+    text = picked(docs, id_col, text_col).select(named(id_col).alias("id"), body(text_col).alias("text"))
     return text.join(F.broadcast(drawn), "id").select("block", "y", "text")
 
 
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """All rows and columns of ``docs`` and a column ``score`` between 0 and 1, larger where label 1 is likelier.
 
     Only the text is scored; null and empty texts have the score of a text without n-grams.  Repeated rows score the
-    same, an empty table stays empty, and a column named score is replaced.
+    same, an empty table stays empty, and a column named score, in any spelling of case, is replaced.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -220,9 +220,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series([sent.value.score(t) for t in texts], dtype="float64")
 
-    columns = [c for c in docs.columns if c != "score"]
-    return docs.select(*[named(c) for c in columns], scored(body(text_col)).alias("score"))
+    stay = [i for i, c in enumerate(docs.columns) if c.lower() != "score"]
+    plain, text = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index(text_col)}"
+    return plain.select(*[F.col(f"c{i}") for i in stay], scored(body(text))).toDF(*[docs.columns[i] for i in stay], "score")
 
 
 def digest(scored: DataFrame) -> DataFrame:
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return picked(scored, "doc_id", "score").select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

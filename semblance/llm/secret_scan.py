@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semblance.llm import spans
-from semblance.llm.text import body, named
+from semblance.llm.text import body, named, picked
 
 # Fixed patterns.  Runs that are too short for hex and access fail wherever they begin, so their lengths stand in the pattern.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -49,7 +49,7 @@ def base_spans(text: Column) -> Column:
 
 def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Labelled samples (token, random) of a corpus: values that the patterns find, and long identifiers outside these."""
-    text = docs.select(body(text_col).alias("t"))
+    text = picked(docs, text_col).select(body(text_col).alias("t"))
     found = text.select(base_spans(F.col("t")).alias("base"), spans.matches(F.col("t"), ORDINARY, "ordinary").alias("words"))
     sample = lambda random: lambda s: F.struct(s["value"].alias("token"), F.lit(random).alias("random"))
     both = F.concat(F.transform("base", sample(True)), F.transform(spans.outside(F.col("words"), F.col("base")), sample(False)))
@@ -94,7 +94,7 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     digit, outside them, that the models call random.  A null text is empty, repeated rows each give a row, ids may be
     null, an empty table stays empty, other columns are not read.  Offsets are in code points, stop exclusive.
     """
-    text = docs.select(named(id_col).alias("doc_id"), body(text_col).alias("t"))
+    text = picked(docs, id_col, text_col).select(named(id_col).alias("doc_id"), body(text_col).alias("t"))
     based = text.select("doc_id", base_spans(F.col("t")).alias("base"), spans.matches(F.col("t"), TOKEN, "markov").alias("tokens"))
     mixed = F.filter("tokens", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     apart = based.select("doc_id", "base", spans.outside(mixed, F.col("base")).alias("tokens"))

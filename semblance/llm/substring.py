@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from semblance.llm.text import body, hex_sha256, named
+from semblance.llm.text import body, hex_sha256, named, picked
 from semblance.session import materialised, ship
 
 SIZE = 50  # words that make a repeat
@@ -227,17 +228,36 @@ def listed(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.groupBy("id").agg(F.collect_set(key).alias(name))
 
 
+def ordered(docs: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) with a number ``id`` in the order of their doc_ids, equal where these are; null is the largest.
+
+    Whole numbers stand for themselves; other ids are numbered along a range partitioning of the distinct ones, and
+    so are whole numbers where a null would meet the largest of them.
+    """
+    last, by_itself = F.lit((1 << 63) - 1), isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    if by_itself:
+        ends = docs.agg(F.max(F.col("doc_id").cast("long")).alias("top"), F.bool_or(F.col("doc_id").isNull()).alias("gap")).first()
+        by_itself = not (ends["gap"] and ends["top"] == (1 << 63) - 1)
+    if by_itself:
+        return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), last))
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("of")).distinct().repartitionByRange("of").sortWithinPartitions("of")
+    known = materialised(known.select("of", F.monotonically_increasing_id().alias("id")))
+    return docs.join(known, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", F.coalesce("id", last).alias("id"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the other words, one space between), repeats.
 
     A word goes when a window of ``size`` words over it stands in a document with a smaller doc_id too; ``repeats``
     are the maximal runs of such words (start, stop).  Windows are judged on the input.  Null and empty texts have no
-    words.  Rows of one doc_id do not remove from each other; a null id is larger than all others.  Empty tables stay
+    words.  Rows of one doc_id do not remove from each other; ids may be of any type that has an order, and
+    a null id is larger than all others.  Empty tables stay
     empty; other columns are not read.  Words are told apart by 128 bits of hash, runs of words by 96.
     """
     ship(docs.sparkSession)
-    order: Column = F.coalesce(named(id_col).cast("long"), F.lit((1 << 63) - 1))
-    text = docs.select(order.alias("id"), body(text_col).alias("text"))
+    kind = docs.schema[docs.columns.index(id_col)].dataType
+    docs = ordered(picked(docs, id_col, text_col).toDF("doc_id", "text"))
+    text = docs.select("id", body("text").alias("text"))
     seeds = materialised(stretches(text, size, gram))
     holders = materialised(seeds.groupBy("anchor", "g1", "g2").agg(F.min("id").alias("first"), F.max("id").alias("last")))
     several = holders.groupBy("anchor").agg(
@@ -253,9 +273,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         listed(whole, "g1", "gone_g").join(listed(single, "w1", "gone_w"), "id", "full")
         .select("id", F.coalesce("gone_g", none).alias("gone_g"), F.coalesce("gone_w", none).alias("gone_w"))
     )
-    rows = docs.select(named(id_col).alias("doc_id"), order.alias("id"), body(text_col).alias("text")).join(gone, "id", "left")
+    rows = docs.select("doc_id", "id", body("text").alias("text")).join(gone, "id", "left")
     full = rows.select("doc_id", "text", F.coalesce("gone_g", none).alias("gone_g"), F.coalesce("gone_w", none).alias("gone_w"))
-    return marked(full, docs.schema[id_col].dataType.simpleString(), size, gram)
+    return marked(full, kind.simpleString(), size, gram)
 
 
 def digest(found: DataFrame) -> DataFrame:
