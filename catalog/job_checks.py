@@ -34,6 +34,15 @@ def scan_text(t: Tables):
     return scan_csv(t.spark, path).select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars")
 
 
+@check("scan_csv_endings", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def scan_csv_endings(t: Tables):
+    """Only files that end in .csv are read; the same rows as text files beside them are not."""
+    path, df = t.scratch(), t("customer").select("c_custkey", "c_name", "c_nationkey")
+    df.write.option("header", True).csv(path)
+    df.select(F.concat_ws(",", *df.columns).alias("value")).write.mode("append").text(path)
+    return scan_csv(t.spark, path)
+
+
 @check("sink_roundtrip", "SELECT id, cust, round(total, 2) AS total, priority, status, (SELECT count(*) FROM order_rows) AS n_rows FROM order_rows", ("order_rows",))
 def sink_roundtrip(t: Tables):
     store, df = DatasetStore(t.spark, t.scratch()), t("order_rows")

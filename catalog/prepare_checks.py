@@ -277,6 +277,23 @@ def gbt_first_split(t: Tables):
     return rounded(out, gain=6, left_value=6, right_value=6)
 
 
+@check("features_and_label", f"SELECT id, CASE WHEN status = 'F' THEN 1 ELSE 0 END AS y, CAST(cust AS DOUBLE) AS cust, total, {TOKEN} AS priority FROM order_rows", ("order_rows",))
+def features_and_label(t: Tables):
+    """The features apart from the label, as the classifiers take them: numbers with their nulls, categories as tokens."""
+    df = t("order_rows").withColumn("y", (F.col("status") == "F").cast("int"))
+    return L.feature_frame(df, ["cust", "total", "priority"], ["id", "y"])[0].toDF("id", "y", "cust", "total", "priority")
+
+
+@check(
+    "last_shared_label",
+    """SELECT max(v) AS label, count(*) AS n_shared FROM (SELECT priority AS v FROM order_rows WHERE priority IS NOT NULL INTERSECT SELECT priority FROM order_syn)""",
+    ("order_rows", "order_syn"),
+)
+def last_shared_label(t: Tables):
+    found, shared = L.last_shared_label(t("order_rows"), t("order_syn"), "priority")
+    return t.spark.createDataFrame([(found, shared)], "label string, n_shared long")
+
+
 @check("mia_auc")
 def mia_auc(t: Tables):
     return one_row(t.spark, auc=L.membership_auc(t("order_rows").drop("id"), t("order_syn").drop("id")))

@@ -66,7 +66,7 @@ def list_newest(t: Tables):
 
 @check("preview_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
 def preview_rows(t: Tables):
-    return t("orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").limit(5)
+    return G.preview(t("orders").select("o_orderkey", "o_custkey", "o_totalprice"))
 
 
 OWNED = """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_nationkey AS VARCHAR(10)) END AS user_id,

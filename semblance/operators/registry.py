@@ -40,6 +40,14 @@ def patched(base: DataFrame, patches: DataFrame, key: str, fields: list[str]) ->
     return joined.select(*[(pick(f) if f in fields else col(f)).alias(f) for f in base.columns])
 
 
+def preview(df: DataFrame, rows: int = 5) -> DataFrame:
+    """The first rows in the order of the columns, nulls first; a table has no other first rows.
+
+    Every task keeps its own first rows only, so no table is sorted.
+    """
+    return df.orderBy(*[col(c) for c in df.columns]).limit(rows)
+
+
 def owned_by(df: DataFrame, user: str | int) -> DataFrame:
     """Rows of one user; anything else reads as absent."""
     return df.where(owner(col("user_id").cast("string"), col("metadata")) == F.lit(str(user)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from semblance.functions.scalars import normalized
 from semblance.operators.profile import TableSchema, class_imbalance, profile
+from semblance.operators.registry import preview
 from semblance.operators.synth import SynthModel, fit, generate
 from semblance.operators.validate import TableError, validate_target
 from semblance.sources.csv import scan_csv
@@ -91,6 +92,6 @@ def generate_dataset(
     stored = datasets.spark.read.parquet(record["object_key"])
     return {
         "synthetic_id": record["id"], "synthetic_path": record["object_key"], "n_samples": record["n_rows"],
-        "preview": [r.asDict() for r in stored.limit(PREVIEW_ROWS).collect()],
+        "preview": [r.asDict() for r in preview(stored, PREVIEW_ROWS).collect()],
         "generation_time_seconds": perf_counter() - start,
     }
