@@ -11,6 +11,7 @@ weights of the blocks without the document turns margins into probabilities.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,6 +108,22 @@ def _ratio(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> np.ndarray:
     return ratio
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """The array in few bytes: most features are rare in a block, so most counts and many weights are zeros."""
+    return zlib.compress(x.tobytes(), 1)
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), kind)
+
+
+def _ratios(tallied: list[tuple]) -> dict[int, np.ndarray]:
+    """Ratios of all blocks, and for each block those of the others: a document's own label has no part in its margin."""
+    counts = {block: (_unpacked(p, np.int32), _unpacked(q, np.int32), n_p, n_q) for block, p, q, n_p, n_q in tallied}
+    whole = tuple(sum(c[i] for c in counts.values()) for i in range(4))
+    return {ALL: _ratio(*whole)} | {b: _ratio(*[x - y for x, y in zip(whole, c)]) for b, c in counts.items()}
+
+
 def _descended(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """Dual coordinate descent for the hinge loss on unit-length scaled rows; classes weigh the same."""
     values = [ratio[f] for f in rows]
@@ -144,43 +161,41 @@ def train(
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(size), np.zeros(size), 0.0, float(np.log((sizes.get(1, 0) + 1) / (sizes.get(-1, 0) + 1))))
+
     def tally(block: pd.DataFrame) -> pd.DataFrame:
         y = block["y"].to_numpy()
         n = [np.bincount(np.concatenate([np.empty(0, np.int64), *block["f"][y == c]]).astype(np.int64), minlength=size).astype(np.int32) for c in (1, -1)]
-        return pd.DataFrame({"block": [int(block["block"].iloc[0])], "p": [n[0].tobytes()], "q": [n[1].tobytes()], "n_p": [int((y > 0).sum())], "n_q": [int((y < 0).sum())]})
+        return pd.DataFrame({"block": [int(block["block"].iloc[0])], "p": [_packed(n[0])], "q": [_packed(n[1])], "n_p": [int((y > 0).sum())], "n_q": [int((y < 0).sum())]})
 
     # A row for each block, whatever the number of documents.
-    tallied = rows.groupBy("block").applyInPandas(tally, "block int, p binary, q binary, n_p long, n_q long").collect()
-    counts = {r.block: (np.frombuffer(r.p, np.int32), np.frombuffer(r.q, np.int32), r.n_p, r.n_q) for r in tallied}
-    whole = tuple(sum(c[i] for c in counts.values()) for i in range(4))
-    # Ratios of all blocks, and for each block those of the others: a document's own label has no part in its margin.
-    ratios = {ALL: _ratio(*whole)} | {b: _ratio(*[x - y for x, y in zip(whole, c)]) for b, c in counts.items()}
-    sent = spark.sparkContext.broadcast(ratios)
+    tallied = [tuple(r) for r in rows.groupBy("block").applyInPandas(tally, "block int, p binary, q binary, n_p long, n_q long").collect()]
+    # Packed counts are sent; the workers make the dense ratios.
+    sent = spark.sparkContext.broadcast(tallied)
 
     def fit(block: pd.DataFrame) -> pd.DataFrame:
         own, f, y = int(block["block"].iloc[0]), [np.asarray(f) for f in block["f"]], block["y"].to_numpy()
-        apart = [b for b in sent.value if b != own]
-        return pd.DataFrame({"apart": apart, "w": [_descended(f, y, sent.value[b]).tobytes() for b in apart]})
-
-    def added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for part in parts:
-            for b, w in zip(part["apart"], part["w"]):
-                sums[b] = sums.get(b, 0) + np.frombuffer(w)
-        for b, w in sums.items():
-            yield pd.DataFrame({"apart": [b], "w": [w.tobytes()]})
-
-    # Sums of each task's blocks, added up as they arrive.
-    weights = {b: np.zeros(size) for b in ratios}
-    fitted = rows.groupBy("block").applyInPandas(fit, "apart int, w binary").mapInPandas(added, "apart int, w binary")
-    for r in fitted.toLocalIterator():
-        weights[r.apart] += np.frombuffer(r.w) / max(len(counts) - (r.apart != ALL), 1)
+        apart = {b: r for b, r in _ratios(sent.value).items() if b != own}
+        return pd.DataFrame({"apart": list(apart), "own": own, "w": [_packed(_descended(f, y, r)) for r in apart.values()]})
+
+    def averaged(parts: pd.DataFrame) -> pd.DataFrame:
+        w = np.zeros(size)
+        for part in parts.sort_values("own")["w"]:
+            w += _unpacked(part, np.float64) / len(parts)
+        return pd.DataFrame({"apart": [int(parts["apart"].iloc[0])], "w": [_packed(w)]})
+
+    # Averaged where the blocks are, so that the driver gets one row of weights for each block and one for all.
+    fitted = rows.groupBy("block").applyInPandas(fit, "apart int, own int, w binary").groupBy("apart").applyInPandas(averaged, "apart int, w binary")
     # A lone block, of very few documents, has no others; its margins are zero and make every score the share of label 1.
-    unseen = spark.sparkContext.broadcast({b: weights[b] for b in counts})
+    weights = {b: _packed(np.zeros(size)) for b, *_ in tallied} | {r.apart: bytes(r.w) for r in fitted.collect()}
+    unseen = spark.sparkContext.broadcast(weights)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios, models = None, {}
         for batch in batches:
-            out = [Model(sent.value[b], unseen.value[b], 1.0, 0.0).margin(np.array(f)) for b, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            ratios = ratios or _ratios(sent.value)
+            for b in set(batch.column(0).to_pylist()) - models.keys():
+                models[b] = Model(ratios[b], _unpacked(unseen.value[b], np.float64), 1.0, 0.0)
+            out = [models[b].margin(np.array(f)) for b, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.float64())], ["y", "m"])
 
     # One margin for each document of the bounded sample.
@@ -188,7 +203,7 @@ def train(
     sent.destroy()
     unseen.destroy()
     slope, offset = _curve(seen["m"].to_numpy(), seen["y"].to_numpy())
-    return Model(ratios[ALL], weights[ALL], slope, offset)
+    return Model(_ratios(tallied)[ALL], _unpacked(weights[ALL], np.float64), slope, offset)
 
 
 def _curve(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:

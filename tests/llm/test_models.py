@@ -115,6 +115,25 @@ def test_quality_curve_is_fitted_on_unseen_margins(spark):
     assert all(0 <= r.score <= 1 for r in quality.score(docs, few).collect())
 
 
+def test_quality_is_fitted_in_few_jobs_whatever_the_partitions(spark):
+    """Weights are averaged in the cluster: no job for each shuffle partition, and one row of them for each block at the driver."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(200)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context = spark.sparkContext
+    try:
+        for k, v in zip(held, ("64", "false")):
+            spark.conf.set(k, v)
+        context.setJobGroup("quality in few jobs", "")
+        model = quality.train(docs, labels)
+        assert len(context.statusTracker().getJobIdsForGroup("quality in few jobs")) < 32
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert abs(model.weight).max() > 0 and model.slope > 0
+
+
 def test_quality_of_odd_rows(spark):
     rnd = random.Random(1)
     good = [(i, " ".join(rnd.choice("clean words of some prose here".split()) for _ in range(40))) for i in range(100)]
