@@ -157,25 +157,32 @@ def train(
                 sets = pa.array([features(t.as_py()) for t in part.column(2)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sets], ["block", "y", "f"])
 
-    rows = materialised(labelled(docs, labels, id_col, text_col, label_col, sample).mapInArrow(featured, "block int, y int, f array<int>"))
-    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    if len(sizes) < 2:
-        return Model(np.zeros(size), np.zeros(size), 0.0, float(np.log((sizes.get(1, 0) + 1) / (sizes.get(-1, 0) + 1))))
-
-    def tally(block: pd.DataFrame) -> pd.DataFrame:
-        y = block["y"].to_numpy()
-        n = [np.bincount(np.concatenate([np.empty(0, np.int64), *block["f"][y == c]]).astype(np.int64), minlength=size).astype(np.int32) for c in (1, -1)]
-        return pd.DataFrame({"block": [int(block["block"].iloc[0])], "p": [_packed(n[0])], "q": [_packed(n[1])], "n_p": [int((y > 0).sum())], "n_q": [int((y < 0).sum())]})
-
-    # A row for each block, whatever the number of documents.
-    tallied = [tuple(r) for r in rows.groupBy("block").applyInPandas(tally, "block int, p binary, q binary, n_p long, n_q long").collect()]
+    def gathered(block: pd.DataFrame) -> pd.DataFrame:
+        y, f = block["y"].to_numpy(), [np.asarray(x, np.int32) for x in block["f"]]
+        n = [np.bincount(np.concatenate([np.empty(0, np.int32), *(x for x, c in zip(f, y) if c == of)]), minlength=size).astype(np.int32) for of in (1, -1)]
+        row = {"block": int(block["block"].iloc[0]), "y": y.astype(np.int32).tobytes(), "n": np.array([len(x) for x in f], np.int32).tobytes(), "f": _packed(np.concatenate(f))}
+        return pd.DataFrame([row | {"p": _packed(n[0]), "q": _packed(n[1]), "n_p": int((y > 0).sum()), "n_q": int((y < 0).sum())}])
+
+    # A row for each block, whatever the number of documents: labels, features and the features' counts in the two classes.
+    rows = labelled(docs, labels, id_col, text_col, label_col, sample).mapInArrow(featured, "block int, y int, f array<int>")
+    blocks = materialised(rows.groupBy("block").applyInPandas(gathered, "block int, y binary, n binary, f binary, p binary, q binary, n_p long, n_q long"))
+    tallied = [tuple(r) for r in blocks.select("block", "p", "q", "n_p", "n_q").collect()]
+    n_p, n_q = (sum(r[i] for r in tallied) for i in (3, 4))
+    if not n_p or not n_q:
+        return Model(np.zeros(size), np.zeros(size), 0.0, float(np.log((n_p + 1) / (n_q + 1))))
     # Packed counts are sent; the workers make the dense ratios.
     sent = spark.sparkContext.broadcast(tallied)
 
-    def fit(block: pd.DataFrame) -> pd.DataFrame:
-        own, f, y = int(block["block"].iloc[0]), [np.asarray(f) for f in block["f"]], block["y"].to_numpy()
-        apart = {b: r for b, r in _ratios(sent.value).items() if b != own}
-        return pd.DataFrame({"apart": list(apart), "own": own, "w": [_packed(_descended(f, y, r)) for r in apart.values()]})
+    def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        for b, y, n, f in zip(*(c.to_pylist() for c in batch.columns)):
+            yield b, np.frombuffer(y, np.int32), np.split(_unpacked(f, np.int32), np.cumsum(np.frombuffer(n, np.int32))[:-1])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, y, f in opened(batch):
+                apart = {b: r for b, r in _ratios(sent.value).items() if b != own}
+                w = [_packed(_descended(f, y, r)) for r in apart.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(apart), pa.int32()), pa.array([own] * len(w), pa.int32()), pa.array(w, pa.binary())], ["apart", "own", "w"])
 
     def averaged(parts: pd.DataFrame) -> pd.DataFrame:
         w = np.zeros(size)
@@ -184,22 +191,20 @@ def train(
         return pd.DataFrame({"apart": [int(parts["apart"].iloc[0])], "w": [_packed(w)]})
 
     # Averaged where the blocks are, so that the driver gets one row of weights for each block and one for all.
-    fitted = rows.groupBy("block").applyInPandas(fit, "apart int, own int, w binary").groupBy("apart").applyInPandas(averaged, "apart int, w binary")
+    features_of = blocks.select("block", "y", "n", "f")
+    fitted = features_of.mapInArrow(fit, "apart int, own int, w binary").groupBy("apart").applyInPandas(averaged, "apart int, w binary")
     # A lone block, of very few documents, has no others; its margins are zero and make every score the share of label 1.
     weights = {b: _packed(np.zeros(size)) for b, *_ in tallied} | {r.apart: bytes(r.w) for r in fitted.collect()}
     unseen = spark.sparkContext.broadcast(weights)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, models = None, {}
         for batch in batches:
-            ratios = ratios or _ratios(sent.value)
-            for b in set(batch.column(0).to_pylist()) - models.keys():
-                models[b] = Model(ratios[b], _unpacked(unseen.value[b], np.float64), 1.0, 0.0)
-            out = [models[b].margin(np.array(f)) for b, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.float64())], ["y", "m"])
+            for own, y, f in opened(batch):
+                model = Model(_ratios(sent.value)[own], _unpacked(unseen.value[own], np.float64), 1.0, 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([model.margin(x) for x in f], pa.float64())], ["y", "m"])
 
     # One margin for each document of the bounded sample.
-    seen = rows.mapInArrow(margins, "y int, m double").toPandas()
+    seen = features_of.mapInArrow(margins, "y int, m double").toPandas()
     sent.destroy()
     unseen.destroy()
     slope, offset = _curve(seen["m"].to_numpy(), seen["y"].to_numpy())
