@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from semblance.llm.text import body, hex_sha256, named, picked
-from semblance.session import materialised, ship
+from semblance.session import materialised, ship, written
 
 SIZE = 50  # words that make a repeat
 GRAM = 8  # words of an anchor
@@ -119,6 +119,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(_U).view(np.int64)
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """The low 32 bits."""
+    return x.astype(np.uint32).view(np.int32)
+
+
 def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of about CHUNK characters."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
@@ -140,13 +145,13 @@ def stretches(docs: DataFrame, size: int, gram: int) -> DataFrame:
             for part in _chunks(batch, 1):
                 s = Words(part.column(1).to_pylist(), size, gram).stretches()
                 ids = part.column(0).take(pa.array(s["doc"]))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(_signed(s[k])) for k in ("anchor", "g1", "g2")]], ["id", "anchor", "g1", "g2"])
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(_signed(s[k])) for k in ("anchor", "g1")], pa.array(_short(s["g2"]))], ["id", "anchor", "g1", "g2"])
 
-    return docs.mapInArrow(run, "id long, anchor long, g1 long, g2 long")
+    return docs.mapInArrow(run, "id long, anchor long, g1 long, g2 int")
 
 
 def windows(opened: DataFrame, size: int, gram: int) -> DataFrame:
-    """(id, w1, w2) of the windows in the stretches named in ``open`` of (id, text, open)."""
+    """(id, w1, w2) of the windows in the stretches named in ``open`` of (id, text, open), each once for a row of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,11 +166,16 @@ def windows(opened: DataFrame, size: int, gram: int) -> DataFrame:
                 at = np.flatnonzero(np.isin(pair(s["doc"], s["g1"]), pair(owners, names)))
                 counts = (s["high"] - s["low"] + 1)[at]
                 starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(s["low"][at], counts)
-                ids = part.column(0).take(pa.array(np.repeat(s["doc"][at], counts)))
-                w = [words.run(i, starts, starts + size) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(_signed(w[0])), pa.array(_signed(w[1] & _U(0xFFFFFFFF)))], ["id", "w1", "w2"])
+                w = [words.run(0, starts, starts + size), _short(words.run(1, starts, starts + size) & _U(0xFFFFFFFF))]
+                doc = np.repeat(s["doc"][at], counts)
+                order = np.lexsort((w[1], w[0], doc))
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (doc, *w)], axis=0)
+                once = order[new]
+                ids = part.column(0).take(pa.array(doc[once]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_signed(w[0][once])), pa.array(w[1][once])], ["id", "w1", "w2"])
 
-    return opened.mapInArrow(run, "id long, w1 long, w2 long")
+    return opened.mapInArrow(run, "id long, w1 long, w2 int")
 
 
 def marked(found: DataFrame, kind: str, size: int, gram: int) -> DataFrame:
@@ -258,14 +268,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     kind = docs.schema[docs.columns.index(id_col)].dataType
     docs = ordered(picked(docs, id_col, text_col).toDF("doc_id", "text"))
     text = docs.select("id", body("text").alias("text"))
-    seeds = materialised(stretches(text, size, gram))
-    holders = materialised(seeds.groupBy("anchor", "g1", "g2").agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    # As Parquet, smaller than a checkpoint: ids repeat, and the last part of each key has 32 bits.
+    seeds = written(stretches(text, size, gram))
+    holders = written(seeds.groupBy("anchor", "g1", "g2").agg(F.min("id").alias("first"), F.max("id").alias("last")))
     several = holders.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("first").alias("low"), F.max("last").alias("high")
     ).where("n > 1 AND low < high").select("anchor")
     opening = holders.join(_small(materialised(several)), "anchor").select(F.col("first").alias("id"), "g1")
     opened = text.join(listed(opening, "g1", "open"), "id").select("id", "text", "open")
-    single = later(materialised(windows(opened, size, gram).distinct()), ["w1", "w2"])
+    single = later(written(windows(opened, size, gram)), ["w1", "w2"])
     shared = holders.where("first < last").select("g1", "g2", "first")
     whole = seeds.join(_small(shared), ["g1", "g2"]).where("id > first")
     none = F.array().cast("array<long>")

@@ -51,6 +51,14 @@ def test_substring_other_sizes(spark, rows):
         assert got == {d: kept for d, _, _, kept in brute.repeats(rows, size)}
 
 
+def test_windows_come_once_for_a_text(spark):
+    """A text of one repeated word has one window, so that no shuffle is needed to drop the others."""
+    docs = spark.createDataFrame([(1, "a " * 400), (2, " ".join(f"w{i % 60}" for i in range(300)))], "id long, text string")
+    opened = docs.join(substring.listed(substring.stretches(docs, 50, 8), "g1", "open"), "id").select("id", "text", "open")
+    got = [tuple(r) for r in substring.windows(opened, 50, 8).collect()]
+    assert len(got) == len(set(got)) and sum(r[0] == 1 for r in got) == 1 and sum(r[0] == 2 for r in got) == 60
+
+
 def test_substring_without_broadcasts(spark, rows, monkeypatch):
     monkeypatch.setattr(substring, "ROWS_TO_SEND", -1)
     got = {r.doc_id: r.n_removed for r in substring.repeats(frame(spark, rows)).collect()}
