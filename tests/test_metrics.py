@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,21 @@ def test_evaluate(pair):
     assert rows["kl_divergence", "merchant"] == pytest.approx(0.462098, abs=1e-6)
     assert rows["k_anonymity", None] == 1 and 0 <= rows["pca_variance_retained", None] <= 1
     assert 0 <= rows["quality.score", "overall"] <= 1 and rows["diagnostic.score", "Data Structure"] == 1
+
+
+def test_pieces_of_a_box_change_no_distance_and_no_count():
+    """Points on a grid, so that many lie just at the radius; a constant side, a lone point, pieces wholly inside and outside."""
+    rng = np.random.default_rng(3)
+    grid = np.unique(np.column_stack([rng.integers(0, 9, (900, 3)) / 8, np.zeros(900)]), axis=0)
+    asked = np.column_stack([rng.integers(-2, 12, (700, 3)) / 8, rng.integers(0, 2, 700)]).astype(float)
+    for other in (grid, grid[:1]):
+        pieces = N._pieces(other)
+        assert sorted(np.concatenate(pieces.rows)) == list(range(len(other))) and max(map(len, pieces.rows)) <= N.PIECE_POINTS
+        total = np.zeros((len(asked), len(other)))
+        for k in range(4):
+            total += (asked[:, k : k + 1] - other[:, k]) ** 2
+        weight = rng.integers(1, 5, len(other))
+        v, b = pd.DataFrame({"p": list(asked)}), pd.DataFrame({"p": list(other), "weight": weight})
+        assert (N._nearest_in_group(v, b)["distance"].to_numpy() == np.sqrt(total).min(axis=1)).all()
+        for radius in (0.0, 0.125, 0.25, 1.0, 3.0):
+            assert (N._count_in_group(v, b, radius)["n"].to_numpy() == (np.sqrt(total) <= radius) @ weight).all()

@@ -231,3 +231,22 @@ def test_awkward_column_names(spark):
     assert C.kl_divergence(df.drop("id"), made).count() == 4
     assert R.quality_report(df, made, schema).count() == 6
     assert L.train_real(df, "y.z", "y1", "id", rounds=1)[1].count() == 1
+
+
+def test_split_ranks_the_rows_at_the_edge_only(spark, monkeypatch):
+    """The rows of the smallest hashes, as many as the rounded share of each class asks; repeated and null keys and classes, very many classes."""
+    rows = [(f"k{i % 900}" if i % 11 else None, [None, "a", "b", "lone"][0 if i % 5 == 0 else 1 + (i % 3 > 0)], i) for i in range(3000)] + [("x", "lone", -1)]
+    df = spark.createDataFrame(rows, "key string, c string, i int").repartition(4)
+    want = {c: int(sum(r[1] == c for r in rows) * 0.3 + 0.5) for c in {r[1] for r in rows}}
+    for few, bits in ((10_000, 16), (10_000, 2), (0, 4)):
+        monkeypatch.setattr(P, "FEW_CLASSES", few)
+        out = P.stratified_split(df, "c", "key", chunk_bits=bits)
+        assert out.columns == ["key", "c", "i", "is_test"]
+        got = out.withColumn("h", F.xxhash64("key", F.lit(42))).collect()
+        assert sorted(r.i for r in got) == sorted(r[2] for r in rows)
+        for c, n in want.items():
+            inside, outside = ([r.h for r in got if r.c == c and r.is_test == t] for t in (True, False))
+            assert len(inside) == n and (not n or not outside or max(inside) <= min(outside))
+    monkeypatch.undo()
+    plan = P.stratified_split(df, "c", "key")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
